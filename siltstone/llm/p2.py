@@ -17,9 +17,10 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rounds merged from their states, per model, status and both."""
+    """Each round and all rounds merged from their states (``replay_round`` null), per model, status and both."""
     rounds = P.state(_requests(spark, sf_dir), ["replay_round", *KEYS], "latency_ms")
-    return P.percentiles(P.levels(rounds, KEYS, SETS), ["level", *KEYS])
+    sets = [[*r, *s] for r in (["replay_round"], []) for s in SETS]
+    return P.percentiles(P.levels(rounds, ["replay_round", *KEYS], sets), ["level", "replay_round", *KEYS])
 
 
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +60,20 @@ SELECT {keys}, CAST(bp AS INTEGER) AS basis_points, value AS percentile, CAST(to
 FROM t WHERE target <= cum AND target > cum - n"""
 
 
+_ROUNDS = """
+l AS (SELECT 'replay_round+model_name' AS level, replay_round, model_name, CAST(NULL AS INTEGER) AS status_code, value FROM v
+UNION ALL SELECT 'replay_round+status_code', replay_round, NULL, status_code, value FROM v
+UNION ALL SELECT 'replay_round+model_name+status_code', replay_round, model_name, status_code, value FROM v
+UNION ALL SELECT 'model_name', NULL, model_name, NULL, value FROM v
+UNION ALL SELECT 'status_code', NULL, NULL, status_code, value FROM v
+UNION ALL SELECT 'model_name+status_code', NULL, model_name, status_code, value FROM v)"""
 _LEVELS = """
 l AS (SELECT 'model_name' AS level, model_name, CAST(NULL AS INTEGER) AS status_code, value FROM v
 UNION ALL SELECT 'status_code', NULL, status_code, value FROM v
 UNION ALL SELECT 'model_name+status_code', model_name, status_code, value FROM v)"""
 _ALL = str(P.BASIS_POINTS)
 SQL = {
-    "p2_latency_percentiles": f"WITH {_ONCE}, v AS (SELECT model_name, status_code, {_BIN} AS value FROM once), {_LEVELS}" + _ranks("l", "level, model_name, status_code", _ALL, "CAST(0.0009765625 AS DOUBLE)"),
+    "p2_latency_percentiles": f"WITH {_ONCE}, v AS (SELECT replay_round, model_name, status_code, {_BIN} AS value FROM once), {_ROUNDS}" + _ranks("l", "level, replay_round, model_name, status_code", _ALL, "CAST(0.0009765625 AS DOUBLE)"),
     "p2_exact_percentiles": f"WITH {_ONCE}, v AS (SELECT model_name, latency_ms + 0.0 AS value FROM once)" + _ranks("v", "model_name", "[5000, 9000, 9500, 9900]", "CAST(0.0 AS DOUBLE)"),
     "p2_round_percentiles": f"WITH {_ONCE}, v AS (SELECT replay_round, {_BIN} AS value FROM once)" + _ranks("v", "replay_round", "[5000, 9000, 9500, 9900]", "CAST(0.0009765625 AS DOUBLE)"),
     "p2_status_counts": f"""WITH {_ONCE}, v AS (SELECT model_name, status_code, latency_ms AS value FROM once), {_LEVELS}
