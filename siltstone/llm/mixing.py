@@ -8,8 +8,8 @@
 3. Projected gradient descent fits the tokens to take from each cell, between 0 and (repeat cap x cell tokens), so that the expected tokens
    per domain come closest to ``share x budget``.
 4. A cell's rate becomes whole copies: everyone gets the whole part, and the documents first in a hash order get one more while the rest of
-   the cell's tokens is met; one later document, the one whose size is closest to what is then missing, is added if it brings the total
-   nearer. The order's running token sum is a distributed prefix sum, so a source may hold any share of the rows.
+   the cell's tokens is met; then, up to ``FILL_PASSES`` times, the later document whose size is closest to what is missing is added if it
+   brings the total nearer. The order's running token sum is a distributed prefix sum, so a source may hold any share of the rows.
 
 Defined cases: source names are compared without case and outer blanks; null, blank and unknown sources count as unlabelled; documents
 without tokens are never drawn; a domain that the mixture does not name has target 0; a wanted source with too few or no documents is
@@ -38,6 +38,7 @@ BUCKETS = 4096
 TRAIN_DOCS = 4000
 MAX_DOMAINS = 256
 MAX_TARGETS = 100_000
+FILL_PASSES = 4
 WORD = re.compile(r"[^\W\d_]+|[^\s\w]", re.UNICODE)
 
 
@@ -189,10 +190,22 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     placed = running_total(members.withColumn("h", F.xxhash64("doc_id")).withColumn("n_tokens", F.col("n_tokens").cast("bigint")), ["cell"], ["h", "doc_id"], "n_tokens")
     placed = materialize(placed.join(F.broadcast(plan_df), "cell").withColumn("first", F.col("_cum") <= F.col("more")), "placed")
     cell = ["mix_name", "cell"]
-    gaps = placed.groupBy(*cell).agg((F.max("more") - F.coalesce(F.max(F.when(F.col("first"), F.col("_cum"))), F.lit(0))).alias("gap"))
-    miss = F.abs(F.col("n_tokens") - F.col("gap"))
-    one_more = placed.where("NOT first").join(F.broadcast(gaps), cell).where(miss < F.col("gap")).groupBy(*cell).agg(F.min(F.struct(miss.alias("miss"), "_cum")).alias("pick"))
-    one_more = one_more.select(*cell, F.col("pick._cum").alias("_cum"), F.lit(1).alias("one_more"))
+    upto = placed.groupBy(*cell).agg((F.max("more") - F.coalesce(F.max(F.when(F.col("first"), F.col("_cum"))), F.lit(0))).alias("gap"))
+    gaps = {(r["mix_name"], tuple(r["cell"])): r["gap"] for r in upto.collect()}  # at most one row per planned cell
+    picks: list[tuple] = []
+    pick_schema = "mix_name string, cell array<tinyint>, _cum bigint, one_more int"
+    for _ in range(FILL_PASSES):
+        open_gaps = spark.createDataFrame([(m, list(c), float(g)) for (m, c), g in gaps.items()], "mix_name string, cell array<tinyint>, gap double")
+        miss = F.abs(F.col("n_tokens") - F.col("gap"))
+        rest = placed.where("NOT first").join(F.broadcast(open_gaps), cell).where(miss < F.col("gap"))
+        rest = rest.join(F.broadcast(spark.createDataFrame(picks, pick_schema)), [*cell, "_cum"], "left_anti")
+        found = rest.groupBy(*cell).agg(F.min(F.struct(miss.alias("miss"), "_cum", "n_tokens")).alias("pick")).collect()
+        for r in found:
+            picks.append((r["mix_name"], r["cell"], r["pick"]["_cum"], 1))
+            gaps[r["mix_name"], tuple(r["cell"])] -= r["pick"]["n_tokens"]
+        if not found:
+            break
+    one_more = spark.createDataFrame(picks, pick_schema)
     draw = placed.join(F.broadcast(one_more), [*cell, "_cum"], "left").withColumn("copies", F.col("low") + F.col("first").cast("int") + F.coalesce("one_more", F.lit(0)))
     draw = materialize(draw.where("copies > 0").select("mix_name", "doc_id", "copies", F.col("n_tokens").cast("int").alias("n_tokens"), "cell"), "draw")
     parts = draw.groupBy("mix_name", "cell").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.count(F.lit(1)).alias("docs"), F.max("copies").alias("most"))
