@@ -97,6 +97,7 @@ def kernel_class(name: Column) -> Column:
             out = out | n.contains(p)
         return out
 
+    # Name parts and their categories, in the order they are tried.
     rules = [
         (has("nccl"), "NCCL Communication"),
         (has("deep_ep") & has("dispatch"), "DeepEP Dispatch (MoE)"),
