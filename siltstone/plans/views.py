@@ -71,7 +71,7 @@ CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS mask, value / 1000.0 AS val,
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event up to the same user's next one; every third is a child of the span before it."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumn("start", F.unix_micros("ts") / 1e6)
+    e = table(spark, sf_dir, "events").withColumn("start", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     n = e.withColumns({"end": F.lead("start").over(w), "before": F.lag("event_id").over(w)})
     return n.select(F.col("user_id").alias("trace"), F.col("event_id").alias("span"), F.when(F.pmod("event_id", F.lit(3)) == 0, F.col("before")).alias("parent"), F.col("event_type").alias("name"), "start", "end", "value")
 
@@ -83,7 +83,7 @@ epoch_us(ts) / 1e6 AS start, lead(epoch_us(ts) / 1e6) OVER w AS "end", value FRO
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as busy intervals of their value in seconds, on one stream per type."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("start"), F.col("value").alias("dur"), (F.unix_micros("ts") / 1e6 + F.col("value")).alias("end"), "user_id")
+    return e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("start"), F.col("value").alias("dur"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.col("value")).alias("end"), "user_id")
 
 
 INTERVALS = """i AS (SELECT event_type AS stream, event_id AS seq, epoch_us(ts) / 1e6 AS start, value AS dur, epoch_us(ts) / 1e6 + value AS "end", user_id FROM events)"""
