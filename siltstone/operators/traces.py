@@ -17,28 +17,26 @@ def match_spans(events: DataFrame, keys: list[str], span: str, kind: str, at: st
 
 
 def parent_names(spans: DataFrame, trace: str, span: str, parent: str, name: str) -> DataFrame:
-    up = spans.select(F.col(trace), F.col(span).alias("_p"), F.col(name).alias("parent_name"))
-    return spans.join(up, (spans[trace] == up[trace]) & (spans[parent] == up["_p"]), "left").drop(up[trace]).drop("_p")
+    up = spans.select(F.col(trace).alias("_t"), F.col(span).alias("_p"), F.col(name).alias("parent_name"))
+    return spans.join(up, (F.col(trace) == F.col("_t")) & (F.col(parent) == F.col("_p")), "left").drop("_t", "_p")
 
 
-def depths(spans: DataFrame, trace: str, span: str, parent: str, rounds: int = 64) -> DataFrame:
+def depths(spans: DataFrame, trace: str, span: str, parent: str, rounds: int = 24) -> DataFrame:
     """Add ``depth`` in the parent tree: a missing parent is a root (0), a cycle counts as 0.
 
     Pointer doubling: each round joins a span to the ancestor it points at, so ``r`` rounds reach depth 2**r.
     """
     from siltstone.session import materialize
 
-    known = spans.select(F.col(trace), F.col(span).alias("_p"))
-    base = spans.join(known, (spans[trace] == known[trace]) & (spans[parent] == known["_p"]), "left").drop(known[trace])
+    known = spans.select(F.col(trace).alias("_t"), F.col(span).alias("_p"))
+    base = spans.join(known, (F.col(trace) == F.col("_t")) & (F.col(parent) == F.col("_p")), "left")
     state = base.select(trace, span, F.col("_p").alias("up"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
-    for i in range(rounds):
+    for _ in range(rounds):  # cycles never end, so the rounds bound them: 2 ** rounds is beyond any tree
         state = materialize(state, "depths")
         if state.where("up IS NOT NULL").isEmpty():
             break
         anc = state.select(F.col(trace).alias("_t"), F.col(span).alias("_s"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        state = state.join(anc, (state[trace] == anc["_t"]) & (state["up"] == anc["_s"]), "left").select(trace, span, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        if i > 40:
-            break
+        state = state.join(anc, (F.col(trace) == F.col("_t")) & (F.col("up") == F.col("_s")), "left").select(trace, span, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
     done = state.select(trace, span, F.when(F.col("up").isNull(), F.col("depth")).otherwise(0).alias("depth"))
     return spans.join(done, [trace, span])
 
