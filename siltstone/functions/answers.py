@@ -18,7 +18,7 @@ PUNCTUATION = string.punctuation
 def normalise_answer(s: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks, in this order."""
     bare = F.translate(F.lower(s), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"[\s\p{Z}]+", " "))
 
 
 def exact_match(prediction: Column, golden: Column) -> Column:
@@ -120,7 +120,7 @@ def boxed_content(s: str | None, names: tuple[str, ...] = ("\\boxed", "\\fbox"))
 REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals",
-    "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", '"', "\\dots",
+    "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
     "<|im_end|>", "<|endoftext|>",
 ]
 

@@ -112,7 +112,7 @@ def balanced_json(text: str | None, start: int = 0) -> str | None:
 
 def last_line(s: Column, cap: int = 512) -> Column:
     """The last non-blank line, cut to ``cap`` characters."""
-    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x != "")
     return F.left(F.try_element_at(lines, F.lit(-1)), F.lit(cap))
 
 
