@@ -25,10 +25,8 @@ def one(spark, d):
 
 
 def sql_norm(x):
-    return f"trim(regexp_replace(regexp_replace(translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')"
-
-
-ASCII = "regexp_full_match({x}, '[ -~\\n]*')"
+    bare = f"translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', '')"
+    return f"array_to_string(list_filter(regexp_split_to_array({bare}, '[\\s\\p{{Z}}]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
 @book.add("C02_normalised_answer", f"WITH {ONE} SELECT sample_index, {sql_norm('response')} AS norm FROM o")
