@@ -97,3 +97,28 @@ def header_length(tokenize: Tokenizer = characters, tools: list | None = None) -
     first = find_all(tokenize(render([{"role": "user", "content": "PROBE TEXT"}], tools)), probe)[0]
     plain = find_all(tokenize(render([{"role": "user", "content": "PROBE TEXT"}])), probe)[0]
     return first - plain
+
+
+def by_prefixed_message(messages: list[Message], tokenize: Tokenizer = characters, tools: list | None = None) -> tuple[list[int], list[int]]:
+    """As ``by_message`` for templates that depend on neighbours: each message is rendered behind a probe turn, whose tokens are cut off."""
+    probe = {"role": "user", "content": "PROBE TEXT"}
+    head = len(tokenize(render([probe])))
+    ids: list[int] = []
+    mask: list[int] = []
+    for i, m in enumerate(messages):
+        own = tokenize(render([m, probe], tools))[:-head] if i == 0 else tokenize(render([probe, m]))[head:]
+        learn = m["role"] == "assistant" and m.get("step_loss_mask", 1) == 1
+        skip = len(tokenize(GENERATION)) + (len(tokenize(render([], tools))) if i == 0 and tools else 0)
+        ids += own
+        mask += [0] * min(skip, len(own)) + [1] * max(0, len(own) - skip) if learn else [0] * len(own)
+    return ids, mask
+
+
+VARIANTS["by_prefixed_message"] = by_prefixed_message
+
+
+def supervised_sample(messages: list[Message], kind: str = "by_message", tokenize: Tokenizer = characters) -> dict:
+    """A training sample of a conversation: all tokens, the response from the first learned token on, its mask, reward 0."""
+    ids, mask = loss_mask(kind, messages, tokenize)
+    n = len(mask) - mask.index(1) if 1 in mask else 0
+    return {"tokens": ids, "response_length": n, "loss_mask": mask[len(mask) - n :], "reward": 0.0}
