@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        conf = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        own = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        conf = "file://" + own
         _OWN[spark.sparkContext.applicationId] = conf
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
