@@ -26,7 +26,7 @@ def r6(x):
 
 
 def token_query(name, sql_columns, extra=""):
-    return book.add(name, f"{R}{extra} SELECT seq, pos, {', '.join(f'round({x}, 6) + 0.0 AS {n}' for n, x in sql_columns.items())} FROM {'z' if extra else 'r'}")
+    return book.add(name, f"{R}{extra} SELECT seq, pos, {', '.join(f'CAST(round({x}, 6) + 0.0 AS DOUBLE) AS {n}' for n, x in sql_columns.items())} FROM {'z' if extra else 'r'}")
 
 
 D = "(new - base)"
@@ -103,7 +103,7 @@ for _level in ("token", "sequence", "geometric"):
         mis(_level, _mode)
 
 
-@book.add("L09_veto", f"{R} SELECT seq, CASE WHEN bool_or(old - base < ln(0.996) AND mask > 0) THEN 0.0 ELSE 1.0 END AS veto FROM r GROUP BY seq")
+@book.add("L09_veto", f"{R} SELECT seq, CASE WHEN bool_or(old - base < ln(0.996) AND mask > 0) THEN 0.0 ELSE 1.0 END::DOUBLE AS veto FROM r GROUP BY seq")
 def l09_veto(spark, d):
     return V.sequences(spark, d).select("seq", T.veto(c("old"), c("base"), c("mask"), 0.996).alias("veto"))
 
@@ -218,7 +218,7 @@ def a38(spark, d):
 SEQ_KL = "sum((old - new) * mask) OVER w / greatest(sum(mask) OVER w, 1)"
 
 
-@book.add("F19_off_policy_mask", f"{R} SELECT seq, pos, CASE WHEN adv < 0 AND {SEQ_KL} > 0.001 THEN 0.0 ELSE 1.0 END AS keep FROM r WINDOW w AS (PARTITION BY seq)")
+@book.add("F19_off_policy_mask", f"{R} SELECT seq, pos, CASE WHEN adv < 0 AND {SEQ_KL} > 0.001 THEN 0.0 ELSE 1.0 END::DOUBLE AS keep FROM r WINDOW w AS (PARTITION BY seq)")
 def f19(spark, d):
     return per_token(V.sequences(spark, d), keep=T.off_policy_mask(c("old"), c("new"), c("mask"), c("adv"), 0.001))
 
@@ -236,7 +236,7 @@ def f18(spark, d):
     return q.select("seq", r6(ratio).alias("ratio"), ((T.mask_total(c("mask")) > 0) & ~protect & (vetoed | (ratio < 0.998) | (ratio > 1.002))).alias("rejected"))
 
 
-@book.add("W17_response_length_of_mask", f"{R}, q AS (SELECT seq, count(*) AS n, min(CASE WHEN mask = 1 THEN pos END) AS f FROM r GROUP BY seq) SELECT seq, CAST(coalesce(n - f, 0) AS INTEGER) AS n FROM q")
+@book.add("W17_response_length_of_mask", f"{R}, q AS (SELECT seq, count(*) AS n, min(CASE WHEN mask = 1 THEN pos END) AS f FROM r GROUP BY seq) SELECT seq, CAST(coalesce(n - f, 0) AS BIGINT) AS n FROM q")
 def w17(spark, d):
     return V.sequences(spark, d).select("seq", T.response_length_of_mask(c("mask")).alias("n"))
 
