@@ -50,6 +50,7 @@ def retrieval_hit(s: Column, golden: Column) -> Column:
     return F.exists(information_blocks(s), lambda b: F.exists(golden, lambda g: normalise_answer(b).contains(normalise_answer(g))))
 
 
+# The states of a tagged answer and the tag that leads on.
 STEPS = {
     ("start", "<think>"): "in_think",
     ("information", "<think>"): "in_think",
@@ -165,6 +166,10 @@ def strict_box(response: str | None, truth: str | None) -> tuple[int, str | None
     return (1 if got is not None and got == truth else -1), got
 
 
+# Spellings that the plain form unifies, in this order.
+SPELLINGS = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
+
+
 def plain_math(s: str | None) -> str | None:
     """Normal form of a short mathematical answer: one spelling of fractions, roots, units, signs and blanks."""
     if s is None:
@@ -172,7 +177,7 @@ def plain_math(s: str | None) -> str | None:
     x = s.strip()
     if m := re.search(r"^\\text\{(.+?)\}$", x):
         x = m.group(1).strip()
-    for a, b in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")):
+    for a, b in SPELLINGS:
         x = x.replace(a, b)
     if x.count("\\text{ ") == 1:  # a unit on the right
         x = x.split("\\text{ ")[0]
@@ -203,6 +208,9 @@ def plain_equal(a: str | None, b: str | None) -> bool:
 # Units that a numeric answer may carry.
 UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard"]
 
+# Spellings that the looser form unifies, in this order.
+LOOSE_SPELLINGS = [("\\%", ""), ("\\$", ""), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
+
 
 def _value(x: str) -> Fraction | None:
     try:
@@ -220,7 +228,7 @@ def loose_math(s: str | None) -> str | None:
     x = s
     if m := re.search(r"^\\text\{(.+?)\}$", x):
         x = m.group(1)
-    for a, b in (("\\%", ""), ("\\$", ""), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")):
+    for a, b in LOOSE_SPELLINGS:
         x = x.replace(a, b)
     for unit in UNITS:
         x = re.sub(rf"{unit}(es)?(s)? *(\^[0-9]+)?", "", x)
@@ -311,10 +319,14 @@ def reasoned_reward(response: str | None, truth: str | None) -> float:
     return 1.0 if math_grade(answer, truth) else 0.0
 
 
+# How a response states its option, in the order they are tried.
+STATED_OPTION = [r"(?:answer|option|choice)\s*(?:is|:)?\s*([A-Z])", r"([A-Z])\s*(?:is\s*(?:the)?\s*correct)", r"final\s*(?:answer|option)\s*(?:is|:)?\s*([A-Z])"]
+
+
 def choice_letter(response: str | None, valid: list[str]) -> str | None:
     """The option letter a response settles on: stated, called correct, or the last free-standing valid capital."""
     text = (response or "").rsplit("</think>", 1)[-1]
-    for pattern in (r"(?:answer|option|choice)\s*(?:is|:)?\s*([A-Z])", r"([A-Z])\s*(?:is\s*(?:the)?\s*correct)", r"final\s*(?:answer|option)\s*(?:is|:)?\s*([A-Z])"):
+    for pattern in STATED_OPTION:
         if (m := re.search(pattern, text, re.I)) and m.group(1).upper() in valid:
             return m.group(1).upper()
     return next((x for x in reversed(re.findall(r"\b([A-Z])\b", text)) if x in valid), None)

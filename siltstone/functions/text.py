@@ -39,6 +39,7 @@ def search_action(s: Column) -> Column:
     return F.struct(F.when(kind != "", kind).alias("action"), F.when(kind != "", F.trim(F.regexp_extract(s, pattern, 2))).otherwise("").alias("content"))
 
 
+# Fixed value: a boxed answer with at most one level of inner braces.
 BOXED = r"Answer:\s*\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
 
 
