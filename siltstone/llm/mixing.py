@@ -115,7 +115,8 @@ def _name(column: str):
 def memberships(documents: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, list[str]]:
     """(doc_id, n_tokens, cell) for all documents with tokens, written once, and the domains; a cell is the posterior in eighths."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), _name("source").alias("domain"), "text", n_tokens(F.col("text"), vocabulary).alias("n_tokens"))
-    rows = materialize(rows.withColumn("domain", F.when(F.col("domain") != "", F.col("domain"))).where("n_tokens > 0").withColumn("text", F.when(F.col("domain").isNull(), F.col("text"))), "sizes")
+    rows = rows.withColumn("domain", F.when(F.col("domain") != "", F.col("domain"))).withColumn("text", F.when(F.col("domain").isNull(), F.col("text")))
+    rows = materialize(rows, "sizes").where("n_tokens > 0")  # filtered as it is read, or every text would be measured twice
     sizes = {r[0]: r[1] for r in rows.where("domain IS NOT NULL").groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} sources")
