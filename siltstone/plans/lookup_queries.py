@@ -13,6 +13,7 @@ from siltstone.session import table
 book = Book()
 S = f"WITH {V.SAMPLES}"
 c = F.col
+HEADS = 5000
 
 
 @book.add("J01_positional_alignment", "SELECT item_id, dataset_path, row_number() OVER (PARTITION BY dataset_path ORDER BY item_id) - 1 AS pos FROM eval_items")
@@ -67,9 +68,12 @@ def j12(spark, d):
     The exact check runs per candidate; candidates come from an equality on a shingle of the prompt, so no cross join is formed.
     """
     items = table(spark, d, "eval_items").select("item_id", "item_prompt", F.substring("item_prompt", 1, 24).alias("head"))
-    heads = [r["head"] for r in items.select("head").distinct().limit(10_000).collect()]
-    pattern = "(" + "|".join(sorted("\\Q" + h + "\\E" for h in heads)) + ")"
-    seen = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("head"))
+    heads = sorted(r["head"] for r in items.where("head <> ''").select("head").distinct().toLocalIterator())
+    docs, seen = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), None
+    for i in range(0, max(len(heads), 1), HEADS):  # a pattern of bounded size per pass; more heads are more passes
+        pattern = "(" + "|".join("\\Q" + h + "\\E" for h in heads[i : i + HEADS]) + ")"
+        part = docs.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("head"))
+        seen = part if seen is None else seen.unionByName(part)
     hits = seen.join(items, "head").where(F.contains("text", "item_prompt")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
