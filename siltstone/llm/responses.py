@@ -3,9 +3,12 @@
 Local checks run row by row in Arrow batches: ``empty``, ``copied_question`` (bit-parallel longest common subsequence of words),
 ``truncated`` (open reasoning, fences, tags, brackets and sentences) and ``wrong_language``. Refusals are found over the corpus: the
 sentences of short replies are pre-aggregated, near-equal ones are linked by MinHash bands over shingles of five words and verified at a
-Jaccard similarity of 0.8, and linked ones share a verdict. A cluster declines if most of its occurrences do by their wording; its
-courtesies are the sentences that, across unrelated prompts, follow declining ones almost only. A reply is a refusal if it declines and
-nothing but courtesies is left, so an apology or caveat with an answer after it is none.
+Jaccard similarity of 0.8, and linked ones share a verdict. Clusters of openings that recur over at least ``RECURS`` distinct prompts
+(counted exactly; prompts that differ in digits only are one) without taking up the prompt's own words are candidates by themselves; of
+these, those decline whose wording holds a negation or an apology (``DENIES``) about the speaker or the request (``SPEAKS``) and that
+mostly have no answer after them. A cluster also declines if most of its occurrences do by
+the ways of declining that are listed; its courtesies are the sentences that, across unrelated prompts, follow listed ones almost only. A
+reply is a refusal if it declines and nothing but courtesies is left, so an apology or caveat with an answer after it is none.
 
 At most one defect per sample, in the order empty, copied_question, refusal, truncated, wrong_language. Defined cases: null, blank and
 invisible responses are ``empty``; a null or blank prompt is never copied and has no language; label, reward and status are not read;
@@ -14,6 +17,7 @@ redelivered samples give one row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -32,6 +36,7 @@ from siltstone.session import materialize
 
 ARTICLES = frozenset(("the", "a", "an"))
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
+RECURS, OWN_WORDS = 5, 0.5
 THINK = "(?:think|thinking|thought|reasoning)"
 CLOSED_THINK = re.compile(rf"(?s)<{THINK}>.*?</{THINK}>")
 UPTO_THINK = re.compile(rf"(?s)\A.*</{THINK}>")
@@ -71,6 +76,16 @@ COURTESY = re.compile(
     r"^(?:feel free|you may want|you might|thank(?:s| you)|i hope|let me know|please (?:consult|ask|try|contact|reach)|is there (?:something|anything)|i(?:'| a)m (?:happy|glad)|happy to|sorry|my apologies|apologies|i apologi[sz]e|i understand)\b|"
     r"感谢您?的?理解|换个话题|咨询专业|其他需要|请谅解|抱歉|对不起|敬请谅解|谢谢|merci|gracias|danke|спасибо|извините|простите|к сожалению|désolé|lo siento|consulte|consultez|wenden sie sich|обратитесь|ご相談|ご了承|ご理解|申し訳"
 )
+# The words by which a recurring opening is checked: a negation or an apology, and who or what it is about.
+DENIES = re.compile(
+    r"\b(?:no|not|never|cannot|unable|refuse|refrain|decline|sorry|apologi[sz]e|regret|unfortunately|off[- ]limits|forbidden|prohibited)\b|n['’]t\b|"
+    r"\b(?:nunca|jamás|lamento|siento|ne|pas|jamais|refuse|désolée?|regrette|nicht|keine?n?|nie|leider|não|nunca|non|mai|spiacente|purtroppo)\b|\b(?:не|нет|нельзя|никогда|увы|сожалени\w*)\b|"
+    r"不|无法|未能|拒|歉|恕|ません|ない|かねま|できず|않|못|없|죄송|لا|لن|آسف"
+)
+SPEAKS = re.compile(
+    r"\b(?:i|we|me|us|my|our|requests?|questions?|topics?|tasks?|subjects?|matters?|yo|nosotros|mi|me|nos|solicitud|pregunta|tema|tarea|je|nous|demande|question|sujet|ich|wir|mir|uns|anfrage|frage|thema|aufgabe|eu|posso|pedido|io|posso|richiesta)\b|"
+    r"\b(?:я|мы|мне|нам|запрос\w*|вопрос\w*|тем[аыуе]|задач\w*)\b|我|本(?:人|助手|模型)|您的|该(?:内容|请求|问题|话题)|(?:请求|问题|话题|要求)|(?:ご質問|ご要望|ご依頼|この(?:件|内容|質問|話題|依頼))|저는|요청|질문|طلب|سؤال|أستطيع|يمكنني"
+)
 # Names of languages in prompts that ask for one.
 ASKED = {
     "en": r"english|英文|英语|inglés|anglais|englisch|английск|英語",
@@ -312,7 +327,24 @@ def short_reply(asked: str, reply: str) -> list[str]:
     return parts if len(parts) <= 5 else []
 
 
-SCHEMA = "sample_index bigint, prompt_key bigint, defect string, said array<string>"
+SCHEMA = "sample_index bigint, prompt_key bigint, defect string, said array<string>, own double"
+
+
+@lru_cache(maxsize=4096)
+def prompt_key(prompt: str) -> int:
+    """A prompt's key; prompts that differ in digits only share it."""
+    return int.from_bytes(hashlib.blake2b(NUMBER.sub("0", prompt).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+@lru_cache(maxsize=4096)
+def asked_words(prompt: str) -> frozenset[str]:
+    return frozenset(units(user_text(prompt)))
+
+
+def own_words(prompt: str, opening: str) -> float:
+    """The share of an opening's words that the prompt has."""
+    words = set(units(opening))
+    return len(words & asked_words(prompt)) / len(words) if words else 0.0
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,11 +355,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([keys[i] for i in keep], pa.int64()),
-                pa.array([zlib.crc32((prompts[i] or "").encode("utf-8", "replace")) for i in keep], pa.int64()),
+                pa.array([prompt_key(prompts[i] or "") for i in keep], pa.int64()),
                 pa.array([found[i][0] for i in keep], pa.string()),
                 pa.array([[s.lower() for s in found[i][1]] for i in keep], pa.list_(pa.string())),
+                pa.array([own_words(prompts[i] or "", found[i][1][0]) if found[i][1] else None for i in keep], pa.float64()),
             ],
-            names=["sample_index", "prompt_key", "defect", "said"],
+            names=["sample_index", "prompt_key", "defect", "said", "own"],
         )
 
 
@@ -348,12 +381,15 @@ def bands(text: str) -> list[int]:
     return [zlib.crc32(low[i].tobytes()) << 5 | i for i in range(BANDS)]
 
 
+SIGNED = "id bigint, text string, n bigint, declines boolean, courteous boolean, bands array<bigint>, denies boolean"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(2), pa.array([bool(DECLINES.search(t)) for t in texts], pa.bool_()), pa.array([bool(COURTESY.search(t)) for t in texts], pa.bool_()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))],
-            names=["id", "text", "n", "declines", "courteous", "bands"],
+            [b.column(0), b.column(1), b.column(2), pa.array([bool(DECLINES.search(t)) for t in texts], pa.bool_()), pa.array([bool(COURTESY.search(t)) for t in texts], pa.bool_()), pa.array([bands(t) for t in texts], pa.list_(pa.int64())), pa.array([bool(DENIES.search(t) and SPEAKS.search(t)) for t in texts], pa.bool_())],
+            names=["id", "text", "n", "declines", "courteous", "bands", "denies"],
         )
 
 
@@ -389,19 +425,28 @@ def clusters(signed: DataFrame) -> DataFrame:
 
 def refusals(local: DataFrame) -> DataFrame:
     """sample_index of the replies that only decline."""
-    said = local.where("size(said) > 0 AND (defect IS NULL OR defect <> 'empty')").select("sample_index", "prompt_key", F.posexplode("said").alias("at", "text"))
+    said = local.where("size(said) > 0 AND (defect IS NULL OR defect <> 'empty')").select("sample_index", "prompt_key", "own", F.posexplode("said").alias("at", "text"))
     said = said.withColumn("id", F.xxhash64("text"))
-    one = said.groupBy("id").agg(F.min("text").alias("text"), F.approx_count_distinct("prompt_key").alias("n"))
-    signed = materialize(one.mapInArrow(_sign, "id bigint, text string, n bigint, declines boolean, courteous boolean, bands array<bigint>"), "signed")
-    labelled = signed.select("id", "n", "declines", "courteous").join(clusters(signed), "id")
-    share = labelled.groupBy("cluster").agg((F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("mostly"), F.sum("n").alias("prompts"))
-    verdicts = labelled.join(share, "cluster").select("id", (F.col("declines") | (F.col("mostly") & (F.col("prompts") > 1))).alias("declines"), "courteous", "prompts")
-    judged = materialize(said.select("sample_index", "id").join(verdicts, "id"), "judged")
-    declining = judged.groupBy("sample_index").agg(F.max("declines").alias("any"))
+    uses = materialize(said.groupBy("id", "prompt_key").agg(F.min("text").alias("text"), F.count(F.when(F.col("at") == 0, 1)).alias("opens"), F.sum(F.when(F.col("at") == 0, F.col("own"))).alias("own")), "uses")
+    one = uses.groupBy("id").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    signed = materialize(one.mapInArrow(_sign, SIGNED), "signed")
+    grouped = clusters(signed)
+    opened = F.col("opens") > 0
+    spread = uses.join(grouped, "id").groupBy("cluster").agg(F.count_distinct("prompt_key").alias("prompts"), F.count_distinct(F.when(opened, F.col("prompt_key"))).alias("openings"), (F.sum("own") / F.sum("opens")).alias("own"))
+    labelled = signed.select("id", "n", "declines", "courteous", "denies").join(grouped, "id")
+    most = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) * 2 > F.sum("n")
+    share = labelled.groupBy("cluster").agg(most("declines").alias("mostly"), most("denies").alias("denying")).join(spread, "cluster")
+    recurs = (F.col("openings") >= RECURS) & (F.col("own") < OWN_WORDS)
+    verdicts = labelled.join(share, "cluster").select("id", "cluster", (F.col("declines") | (F.col("mostly") & (F.col("prompts") > 1))).alias("listed"), F.coalesce(recurs & F.col("denying"), F.lit(False)).alias("candidate"), "courteous", "prompts")
+    judged = verdicts.select("id", F.when(F.col("candidate") & ~F.col("listed"), F.col("cluster")).alias("opening"), "listed", (F.col("listed") | F.col("candidate")).alias("declines"), "courteous", "prompts")
+    judged = materialize(said.select("sample_index", "id").join(judged, "id"), "judged")
+    declining = judged.groupBy("sample_index").agg(F.max("listed").alias("any"))
     after = judged.where("NOT declines").join(declining, "sample_index").groupBy("id").agg((F.avg(F.col("any").cast("double")) >= 0.9).alias("follows"))
     full = judged.join(after, "id", "left")
     fine = F.col("declines") | F.col("courteous") | (F.coalesce(F.col("follows"), F.lit(False)) & (F.col("prompts") >= 3))
-    return full.groupBy("sample_index").agg(F.min(fine).alias("all"), F.max("declines").alias("any")).where("all AND any").select("sample_index")
+    replies = materialize(full.groupBy("sample_index").agg(F.min(fine).alias("all"), F.max("declines").alias("any"), F.max("opening").alias("opening")), "replies")
+    alone = replies.where("opening IS NOT NULL").groupBy("opening").agg((F.avg(F.col("all").cast("double")) > 0.5).alias("alone"))  # an opening that an answer follows mostly is none
+    return replies.join(alone, "opening", "left").where("all AND any AND coalesce(alone, true)").select("sample_index")
 
 
 def defects(samples: DataFrame) -> DataFrame:

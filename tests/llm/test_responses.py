@@ -66,3 +66,15 @@ def test_clusters_join_near_equal_sentences(spark):
     signed = df.mapInArrow(R._sign, "id bigint, text string, n bigint, declines boolean, courteous boolean, bands array<bigint>")
     got = {r["id"]: r["cluster"] for r in R.clusters(signed).collect()}
     assert got[0] == got[1] == got[3] == 0 and got[2] == 2
+
+
+ASKED = ["Who built the bridge at Tasol?", "Sort these names by length.", "What is the sum of all odd divisors?", "Write a loop that drains a queue.", "Where does the canal end?", "Give two uses of a prefix cache.", "How tall is the lighthouse?"]
+
+
+def test_recurring_openings_reveal_refusals(spark):
+    rows = [(k, q, "Such things are off-limits for us.") for k, q in enumerate(ASKED)]
+    rows += [(10 + k, q, f"Such things do not trouble us. {w} is what the record says.") for k, (q, w) in enumerate(zip(ASKED, ("Basalt", "Ochre", "Teal", "Umber", "Ivory", "Coral", "Slate")))]
+    rows += [(20 + k, q, "The records of the harbour name it.") for k, q in enumerate(ASKED)]
+    rows += [(30, ASKED[0], "Our own view is not as clear."), (31, ASKED[1], "Our own view is not as clear.")]  # too few prompts
+    df = spark.createDataFrame(rows, "sample_index bigint, prompt string, response string").repartition(3)
+    assert {r["sample_index"]: r["defect"] for r in R.defects(df).collect()} == {k: "refusal" for k in range(7)}
