@@ -2,7 +2,7 @@
 
 Local checks run row by row in Arrow batches: ``empty``, ``copied_question`` (bit-parallel longest common subsequence of words),
 ``truncated`` (open reasoning, fences, tags, brackets and sentences) and ``wrong_language``. Refusals are found over the corpus: the
-sentences of short replies are pre-aggregated, near-equal ones are linked by MinHash bands over shingles of five words and verified at a
+sentences of all replies are pre-aggregated, near-equal ones are linked by MinHash bands over shingles of five words and verified at a
 Jaccard similarity of 0.8, and linked ones share a verdict. Clusters of openings that recur over at least ``RECURS`` distinct prompts
 (counted exactly; prompts that differ in digits only are one) without taking up the prompt's own words are candidates by themselves; of
 these, those decline whose wording holds a negation or an apology (``DENIES``) about the speaker or the request (``SPEAKS``) and that
@@ -181,7 +181,7 @@ def is_copy(prompt: list[str], reply: list[str]) -> bool:
     """At least four fifths of the prompt and hardly anything else, with or without articles, which a change of form may drop."""
     if _is_copy(prompt, reply):
         return True
-    if not 0.6 * len(prompt) <= len(reply) <= 1.3 * len(prompt) + 6:
+    if not 0.6 * len(prompt) <= len(reply) <= 6 * len(prompt) + 6:
         return False
     return _is_copy([u for u in prompt if u not in ARTICLES], [u for u in reply if u not in ARTICLES])
 
@@ -298,7 +298,7 @@ def is_wrong_language(prompt: str, reply: str) -> bool:
 
 
 def local_defect(prompt: str | None, response: str | None) -> tuple[str | None, list[str]]:
-    """The defect that the pair shows by itself, and the sentences of a short reply that may be a refusal."""
+    """The defect that the pair shows by itself, and the sentences of its reply."""
     if response is None:
         return "empty", []
     reply, is_open = reply_of(response)
@@ -310,21 +310,15 @@ def local_defect(prompt: str | None, response: str | None) -> tuple[str | None,
     said = copy_units(reply)
     if asked and (is_copy(asked_units(asked), said) or (prompt is not None and asked != prompt and is_copy(asked_units(contents(prompt)), said))):
         return "copied_question", []
-    short = short_reply(asked, reply)
+    parts = sentences(reply)
     if is_truncated(reply):
-        return "truncated", short
-    return ("wrong_language" if asked and is_wrong_language(asked, reply) else None), short
+        return "truncated", parts
+    return ("wrong_language" if asked and is_wrong_language(asked, reply) else None), parts
 
 
-def short_reply(asked: str, reply: str) -> list[str]:
-    """The sentences of a reply that may only decline: short, without code and without numbers that the prompt doesn't have."""
-    if len(reply) > 600 or "```" in reply or "\\boxed" in reply:
-        return []
-    numbers = NUMBER.findall(reply)
-    if numbers and not set(numbers) <= set(NUMBER.findall(asked)):
-        return []
-    parts = [s.strip() for s in SENTENCE.split(reply) if s.strip()]
-    return parts if len(parts) <= 5 else []
+def sentences(reply: str) -> list[str]:
+    """The sentences of a reply as they are clustered: lower case, digits alike; one that recurs in the reply counts once."""
+    return list(dict.fromkeys(t for s in SENTENCE.split(NUMBER.sub("0", reply.lower())) if (t := s.strip())))
 
 
 SCHEMA = "sample_index bigint, prompt_key bigint, defect string, said array<string>, own double"
@@ -357,7 +351,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([keys[i] for i in keep], pa.int64()),
                 pa.array([prompt_key(prompts[i] or "") for i in keep], pa.int64()),
                 pa.array([found[i][0] for i in keep], pa.string()),
-                pa.array([[s.lower() for s in found[i][1]] for i in keep], pa.list_(pa.string())),
+                pa.array([found[i][1] for i in keep], pa.list_(pa.string())),
                 pa.array([own_words(prompts[i] or "", found[i][1][0]) if found[i][1] else None for i in keep], pa.float64()),
             ],
             names=["sample_index", "prompt_key", "defect", "said", "own"],

@@ -78,3 +78,17 @@ def test_recurring_openings_reveal_refusals(spark):
     rows += [(30, ASKED[0], "Our own view is not as clear."), (31, ASKED[1], "Our own view is not as clear.")]  # too few prompts
     df = spark.createDataFrame(rows, "sample_index bigint, prompt string, response string").repartition(3)
     assert {r["sample_index"]: r["defect"] for r in R.defects(df).collect()} == {k: "refusal" for k in range(7)}
+
+
+def test_refusals_of_any_length_and_with_numbers(spark):
+    tail = " I hope you understand. Thank you for asking. Let me know what else you need. Feel free to ask again. Is there something else? I am happy to try."
+    rows = [(k, q, "I can't help with that. Please call 988.") for k, q in enumerate(ASKED)]
+    rows += [(20, ASKED[0], "I can't help with that." + tail), (21, ASKED[1], "I can't help with that. " + "I hope that you understand why this is so. " * 20)]
+    rows += [(30, ASKED[2], "I can't help with a sketch. The sum is 403."), (31, ASKED[3], "I can't help with tests.\n```python\nwhile queue:\n    queue.pop()\n```")]
+    df = spark.createDataFrame(rows, "sample_index bigint, prompt string, response string").repartition(3)
+    assert {r["sample_index"]: r["defect"] for r in R.defects(df).collect()} == {k: "refusal" for k in (*range(7), 20, 21)}
+
+
+def test_copies_without_articles_several_times_over():
+    prompt = "What is the sum of all the divisors of a number that the worker drains?"
+    assert R.local_defect(prompt, "What is sum of all divisors of number that worker drains? " * 3)[0] == "copied_question"
