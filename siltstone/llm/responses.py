@@ -18,6 +18,7 @@ redelivered samples give one row; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
@@ -37,6 +38,7 @@ from siltstone.session import materialize
 ARTICLES = frozenset(("the", "a", "an"))
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 RECURS, OWN_WORDS = 5, 0.5
+BLOCK = 1024
 THINK = "(?:think|thinking|thought|reasoning)"
 CLOSED_THINK = re.compile(rf"(?s)<{THINK}>.*?</{THINK}>")
 UPTO_THINK = re.compile(rf"(?s)\A.*</{THINK}>")
@@ -387,25 +389,68 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def near_pairs(texts: list[str], own: list[int], crossing: bool) -> list[tuple[int, int]]:
+    """Pairs that join all texts of a Jaccard similarity of ``SIMILAR`` or more; ``crossing``: only texts of different blocks are compared.
+
+    Similar sets share one of the rarest shingles that are left when ``SIMILAR`` of a set is taken away, so only such pairs are verified.
+    """
+    sets = [shingles(t) for t in texts]
+    common_in = Counter(x for s in sets for x in s)
+    root = list(range(len(sets)))
+    index: dict[int, list[int]] = {}
+    links = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        s, tried = sets[i], set()
+        for x in sorted(s, key=lambda x: (common_in[x], x))[: len(s) - math.ceil(SIMILAR * len(s) - 1e-9) + 1]:
+            at = index.setdefault(x, [])
+            for j in at:
+                if j in tried or (crossing and own[i] == own[j]):
+                    continue
+                tried.add(j)
+                if find(i) != find(j) and len(s & sets[j]) >= SIMILAR * len(s | sets[j]):
+                    root[find(i)] = find(j)
+                    links.append((i, j))
+            at.append(i)
+    return links
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each (band, low, high), whose rows lie together."""
+
+    def linked(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        return [(rows[i][1], rows[j][1]) for i, j in near_pairs([r[2] for r in rows], [r[0] for r in rows], key[1] != key[2])]
+
+    last, held = None, []
     for b in batches:
-        a, c, s, t = (b.column(i).to_pylist() for i in range(4))
-        good = []
-        for i in range(len(a)):
-            x, y = shingles(s[i]), shingles(t[i])
-            if len(x & y) >= SIMILAR * len(x | y):
-                good.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([c[i] for i in good], pa.int64())], names=["a", "b"])
+        found = []
+        for band, low, high, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (band, low, high) != last:
+                found += linked(last, held) if held else []
+                last, held = (band, low, high), []
+            held.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    found = linked(last, held) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def clusters(signed: DataFrame) -> DataFrame:
-    """(id, cluster): sentences joined through verified links to the least member of a shared band."""
+    """(id, cluster): sentences joined through verified links to any other member of a shared band.
+
+    A band's members are compared in pairs of blocks of about ``BLOCK``, each pair of blocks in one place.
+    """
     banded = signed.select("id", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("id").alias("rep"))
-    pairs = banded.join(least, "band").where("id <> rep").select("id", "rep").distinct()
-    texts = signed.select("id", "text")
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text")), "rep").select("id", "rep", "text", "rep_text")
-    links = materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
+    shared = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = banded.join(shared, "band").withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("id", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own").join(signed.select("id", "text"), "id")
+    together = members.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").select("band", "low", "high", "own", "id", "text")
+    links = materialize(together.mapInArrow(_link, "a bigint, b bigint").distinct(), "links")
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = signed.select("id", F.col("id").alias("cluster"))
     while True:

@@ -92,3 +92,15 @@ def test_refusals_of_any_length_and_with_numbers(spark):
 def test_copies_without_articles_several_times_over():
     prompt = "What is the sum of all the divisors of a number that the worker drains?"
     assert R.local_defect(prompt, "What is sum of all divisors of number that worker drains? " * 3)[0] == "copied_question"
+
+
+@pytest.mark.parametrize("block", [R.BLOCK, 2])
+def test_clusters_compare_all_members_of_a_band(spark, monkeypatch, block):
+    monkeypatch.setattr(R, "BLOCK", block)
+    w = [f"word{i}" for i in range(60)]
+    texts = [" ".join(w[:40]), " ".join(w), " ".join(w) + " more", " ".join(w[20:])]
+    df = spark.createDataFrame([(i, t, [7]) for i, t in enumerate(texts)], "id bigint, text string, bands array<bigint>")  # all share one band, whose least member is like none
+    got = {r["id"]: r["cluster"] for r in R.clusters(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+    pairs = R.near_pairs(texts, [0, 1, 0, 1], True)
+    assert sorted(map(sorted, pairs)) == [[1, 2]]
