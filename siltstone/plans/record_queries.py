@@ -271,8 +271,8 @@ def p27(spark, d):
 
 
 @book.add("P35_turn_log", f"{S}, {V.TURNS} SELECT user_id, turn_idx, reward, response_length, CASE WHEN removed THEN 'abort' ELSE 'stop' END AS finish FROM t")
-def p35(spark, d):
-    return V.turns(spark, d).select("user_id", "turn_idx", "reward", "response_length", F.when(c("removed"), "abort").otherwise("stop").alias("finish"))
+def p35(spark, d, turns=V.turns):
+    return turns(spark, d).select("user_id", "turn_idx", "reward", "response_length", F.when(c("removed"), "abort").otherwise("stop").alias("finish"))
 
 
 @book.add("P36_sft_answer", "SELECT item_id, 'Answer: \\boxed{' || coalesce(item_label, '') || '}' AS content FROM eval_items")
@@ -342,3 +342,6 @@ def h13(spark, d):
 def h14(spark, d):
     convert = registry.get("convert", "siltstone.functions.shaping.training_columns")
     return convert(V.samples(spark, d).withColumn("remove_sample", F.lit(False))).select("sample_index", F.size("loss_mask").alias("n"))
+
+
+book.whole("P35_turn_log")
