@@ -171,6 +171,13 @@ def c01(spark, d):
     return o.select("sample_index", A.score(F.lit("dapo"), c("response"), c("label")).alias("score"))
 
 
+@book.add("C01_scorer_dispatch_whole")
+def c01_whole(spark, d):
+    """Every sample by the scorer that its metadata names; a null label is never matched, a missing type is an error."""
+    rm_type = F.trim(F.get_json_object("metadata", "$.rm_type"))
+    return one(spark, d).select("sample_index", rm_type.alias("rm_type"), A.score(rm_type, c("response"), c("label")).alias("score"))
+
+
 @book.add("C21_hash_reward", "SELECT count(*) AS n, true AS both_values FROM events")
 def c21(spark, d):
     r = table(spark, d, "events").select(F.pmod(F.xxhash64("event_id"), F.lit(2)).alias("r"))

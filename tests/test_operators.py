@@ -297,3 +297,32 @@ def test_whole_trajectories_have_all_events(spark, tmp_path):
     assert sum(x["n"] for x in run("G01_regroup_by_turn_whole").collect()) == 40
     spine = run("J14_turn_spine_whole").collect()
     assert len(spine) == 64 and sum(not x["is_pad_turn"] for x in spine) == 40
+
+
+def test_scorer_dispatch_reads_each_samples_type(spark, tmp_path):
+    from siltstone.functions import answers as A
+    from siltstone.plans import catalog
+
+    said = ["Answer: 12", "\\boxed{12}", "<think>x</think> \\boxed{12}", "12", "The answer is C", "a red fox", None, "\\boxed{C}"]
+    kinds = ["dapo", "math", "deepscaler", "f1", "gpqa", "boxed_f1", "boxed_gpqa", " math "]
+    rows = [(i, k, r, t) for i, (k, r, t) in enumerate((k, r, t) for k in kinds for r in said for t in ("12", "red fox", "C", "0", None))]
+    rows = rows + rows[:4]  # delivered twice
+    df = spark.createDataFrame([(i, "q", r, t, f'{{"rm_type": "{k}", "rollout_step": 1}}') for i, k, r, t in rows], "sample_index bigint, prompt string, response string, label string, metadata string")
+    df.write.parquet(str(tmp_path / "samples.parquet"))
+
+    def by_hand(k, r, t):
+        k = k.strip()
+        if k.startswith("boxed_"):
+            k, r = k[6:], A.boxed_content(r) or ""
+        if k == "dapo":
+            return 1.0 if (r, t) == ("Answer: 12", "12") else -1.0
+        return float({"math": A.math_grade, "deepscaler": A.reasoned_reward, "f1": A.bag_f1, "gpqa": A.choice_score}[k](r, t))
+
+    want = {i: (k.strip(), by_hand(k, r, t)) for i, k, r, t in rows}
+    got = {x["sample_index"]: (x["rm_type"], x["score"]) for x in catalog.QUERIES["C01_scorer_dispatch_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {s for k, s in want.values() if k == "dapo"} == {1.0, -1.0} and len({s for k, s in want.values() if k == "f1"}) > 2
+    (tmp_path / "none").mkdir()
+    df.limit(1).withColumn("metadata", F.lit("{}")).write.parquet(str(tmp_path / "none" / "samples.parquet"))
+    with pytest.raises(Exception, match="unknown reward type"):
+        catalog.QUERIES["C01_scorer_dispatch_whole"](spark, str(tmp_path / "none")).collect()
