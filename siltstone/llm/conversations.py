@@ -2,14 +2,14 @@
 
 The rows are read as a stream. Each message is parsed once (speaker, place, blank, calls tools), then kept in keyed state: a session of
 its conversation, held open until the event-time watermark has passed the session's last message by ``gap``. Late arrivals up to ``delay``
-behind the newest event join their session. When a session closes, its messages are ordered and checked, and only intact conversations
-come out. A run over a bounded table ends with a closing row that moves the watermark past every session.
+behind the newest event join their session. A run over a bounded table ends with a closing row that moves the watermark past every
+session. The closed sessions of a conversation are then put together, ordered and checked, and only intact conversations come out.
 
 Only ids, places and flags are kept in state, never the texts, so the state of a long conversation stays small.
 
 Defined cases: rows without a conversation are dropped; metadata that is null, blank, not a JSON object or cut off, an unknown or missing
 speaker, or a missing place break the conversation; a message delivered twice under one id counts once (its first readable copy by
-arrival); null contents are blank; a conversation whose messages are more than ``gap`` apart is split and so reported as broken;
+arrival); null contents are blank; a conversation whose messages are more than ``gap`` apart has several sessions and is still one;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +33,7 @@ SPEAKERS = {
 CODES = {"system": 0, "user": 1, "assistant": 2, "tool": 3}
 NAMES = {v: k for k, v in CODES.items()}
 BLANK = r"[\s\p{Z}\p{C}]+"
+TURNS = "sample_index bigint, turn_no int, message_id bigint, role string"
 COLUMNS = ["message_id", "sample_index", "message_content", "metadata", "created_at", "ingested_at"]
 
 
@@ -123,8 +124,8 @@ def _validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["sample_index", "turn_no", "message_id", "role"])
 
 
-def conversations(messages: DataFrame, delay: str = "10 days", gap: str = "2 days") -> DataFrame:
-    """Streaming plan from message rows to the turns of intact conversations (append mode: each conversation once, on closing).
+def sessions(messages: DataFrame, delay: str = "10 days", gap: str = "2 days") -> DataFrame:
+    """Streaming plan from message rows to the messages of closed sessions (append mode: each session once, on closing).
 
     ``messages`` is a stream of the message columns and a boolean ``closing``; a closing row belongs to no conversation and only moves
     the watermark.
@@ -136,10 +137,15 @@ def conversations(messages: DataFrame, delay: str = "10 days", gap: str = "2 day
         .groupBy("sample_index", F.session_window("event_time", gap))
         .agg(F.collect_list("message").alias("messages"))
         .select("sample_index", "messages")  # no filter on the key here: it would be pushed below the watermark and drop closing rows
-        .mapInArrow(_validate, "sample_index bigint, turn_no int, message_id bigint, role string")
     )
 
 
+def conversations(closed: DataFrame) -> DataFrame:
+    """The turns of intact conversations, from all their closed sessions."""
+    whole = closed.where("sample_index IS NOT NULL").groupBy("sample_index").agg(F.flatten(F.collect_list("messages")).alias("messages"))
+    return whole.mapInArrow(_validate, TURNS)
+
+
 def _stream_path(spark: SparkSession, path: str) -> str:
     """A single file has to be named by a pattern: a stream takes a plain path for a folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -156,10 +162,10 @@ def rebuild(spark: SparkSession, path: str, delay: str = "10 days", gap: str = "
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "created_at"], F.lit("9990-01-01").cast("timestamp").alias("created_at")
     ).select(*COLUMNS).coalesce(1).write.parquet(end)
     closing = spark.readStream.schema(schema).parquet(end).withColumn("closing", F.lit(True))
-    out = scratch_path(spark, "conversations")
+    out = scratch_path(spark, "sessions")
+    closed = sessions(stream.unionByName(closing), delay, gap)
     query = (
-        conversations(stream.unionByName(closing), delay, gap)
-        .writeStream.format("parquet")
+        closed.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", scratch_path(spark, "conversations-state"))
         .trigger(availableNow=True)
@@ -167,4 +173,4 @@ def rebuild(spark: SparkSession, path: str, delay: str = "10 days", gap: str = "
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema("sample_index bigint, turn_no int, message_id bigint, role string").parquet(out)
+    return conversations(spark.read.schema(closed.schema).parquet(out))

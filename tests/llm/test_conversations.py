@@ -63,3 +63,14 @@ def test_order_rules():
     assert order([m(1, 0, 0)]) is None
     cycle = [(1, 1, None, 2, True, False, False), (2, 2, None, 1, True, False, False)]
     assert order(cycle) is None
+
+
+def test_pause_longer_than_the_gap(spark, tmp_path):
+    at = lambda days: T0 + timedelta(days=days)
+    rows = [(1, 1, 1, "q", at(0), at(0), j(role="user", turn_idx=0), ""), (2, 1, 1, "a", at(0), at(0), j(role="assistant", turn_idx=1), "")]
+    rows += [(3, 1, 1, "q", at(5), at(5), j(role="user", turn_idx=2), ""), (4, 1, 1, "a", at(30), at(30), j(role="assistant", turn_idx=3), "")]
+    rows += [(5, 1, 2, "q", at(0), at(0), j(role="user", turn_idx=0), ""), (6, 1, 2, "a", at(0), at(0), j(role="assistant", turn_idx=1), ""), (7, 1, 2, "q", at(9), at(9), j(role="user", turn_idx=2), "")]
+    path = str(tmp_path / "message_rows.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    got = sorted((r["sample_index"], r["turn_no"], r["message_id"]) for r in rebuild(spark, path).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4)]
