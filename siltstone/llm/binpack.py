@@ -1,8 +1,9 @@
 """Bin completion: fill fixed-capacity containers around the largest remaining item, by branch and bound.
 
-At each node the largest item opens a container and its completions are enumerated by growing waste. Dominated completions are skipped: a
-smaller single item is dominated by the largest that fits, and a set is only tried if it wastes less than every smaller set found before
-it. A branch is cut when the waste so far already rules out beating the incumbent, and the search ends when the incumbent meets the lower
+At each node the largest item opens a container and up to ``WIDTH`` completions are enumerated by growing waste, after a greedy head: a
+single item, an exact pair or an exact triple (its first item one of ``FIRST`` sizes) for each level, not every undominated set. Dominated
+completions are skipped: a smaller single item is dominated by the largest that fits, and a set is only tried if it wastes less than every
+smaller set found before it. So a search that runs out of branches doesn't prove its result the best. A branch is cut when the waste so far already rules out beating the incumbent, and the search ends when the incumbent meets the lower
 bound ``ceil(total / capacity)`` or the node budget is spent. Best fit on decreasing sizes gives the first incumbent, so every result is
 whole and valid whatever the budget.
 
