@@ -1,18 +1,23 @@
 """Broken prompt and response pairs.
 
 Local checks run row by row in Arrow batches: ``empty``, ``copied_question`` (bit-parallel longest common subsequence of words),
-``truncated`` (open reasoning, fences, tags, brackets and sentences) and ``wrong_language``. Refusals are found over the corpus: the
-sentences of all replies are pre-aggregated, near-equal ones are linked by MinHash bands over shingles of five words and verified at a
-Jaccard similarity of 0.8, and linked ones share a verdict. Clusters of openings that recur over at least ``RECURS`` distinct prompts
-(counted exactly; prompts that differ in digits only are one) without taking up the prompt's own words are candidates by themselves; of
-these, those decline whose wording holds a negation or an apology (``DENIES``) about the speaker or the request (``SPEAKS``) and that
-mostly have no answer after them. A cluster also declines if most of its occurrences do by
-the ways of declining that are listed; its courtesies are the sentences that, across unrelated prompts, follow listed ones almost only. A
-reply is a refusal if it declines and nothing but courtesies is left, so an apology or caveat with an answer after it is none.
+``truncated`` (open reasoning, fences, tags, brackets and sentences) and ``wrong_language``. Refusals are found over the corpus:
+
+1. The opening of a reply (its first sentence, in words; once more with the prompt's own words masked) is pre-aggregated with all equal
+   ones. Openings near each other are linked by MinHash bands over shingles of five words, verified at a Jaccard similarity of 0.8; linked
+   openings are one template.
+2. A template is told by how it recurs: over at least ``RECURS`` distinct prompts (counted exactly; prompts that differ in digits only are
+   one) that aren't related (by MinHash sketches of the prompts, less than ``RELATED`` of them share a shingle), without the prompt's own
+   words, without a number that varies, and standing alone in at least ``ALONE`` of its replies: nothing follows, or only what itself recurs
+   word for word over ``RECURS`` prompts. No answer to unrelated prompts reads like that.
+3. Wording is only the check that follows: a template that neither denies nor speaks of speaker or request (``DENIES``, ``SPEAKS``) is none.
+
+A reply is a refusal if its opening is such a template and nothing else follows than what recurs or is polite (``COURTESY``), so an apology
+or caveat with an answer after it is none.
 
 At most one defect per sample, in the order empty, copied_question, refusal, truncated, wrong_language. Defined cases: null, blank and
 invisible responses are ``empty``; a null or blank prompt is never copied and has no language; label, reward and status are not read;
-redelivered samples give one row; an empty table gives no rows.
+redelivered samples give one row; an opening held by any share of the rows is pre-aggregated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,20 +30,23 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.language import language, weights
+from siltstone.llm.language import FUNCTION_WORDS, language, weights
 from siltstone.llm.leakage import INVISIBLE, contents
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 ARTICLES = frozenset(("the", "a", "an"))
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
-RECURS, OWN_WORDS = 5, 0.5
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 4
+RECURS, OWN_WORDS, RELATED, ALONE = 3, 0.5, 0.7, 0.8
+LEAST_WORDS, SKETCH = 3, 8
 BLOCK = 1024
+MASK = "·"
 THINK = "(?:think|thinking|thought|reasoning)"
 CLOSED_THINK = re.compile(rf"(?s)<{THINK}>.*?</{THINK}>")
 UPTO_THINK = re.compile(rf"(?s)\A.*</{THINK}>")
@@ -62,31 +70,20 @@ OPEN_ENDS = ",;:，、；：([{（【「『<=+-*/\\^&|—–~_#@"
 LABEL = re.compile(r"(?:answer|result|solution|答案|结果|答え|答|ответ|итог|antwort|ergebnis|réponse|résultat|respuesta|resultado)\W{0,6}[:：]\W*[^\n]{1,60}\Z", re.I)
 ITEM = re.compile(r"\s*(?:[-*•·+]|\d+[.)、]|[a-z][.)])\s+\S")
 
-# Ways of declining, and courtesies after them.
-DECLINES = re.compile(
-    r"\b(?:can'?t|cannot|can not|am unable to|'m unable to|not able to|won'?t|will not|must decline to|not allowed to|not permitted to|may not|not going to|prefer not to|rather not|not in a position to|not comfortable|have to pass on|must refuse to)\b.{0,40}\b(?:help|assist|answer|answering|respond|responding|provide|discuss|share|comply|go into|fulfil|fulfill|engage|work on|support|say|do\b|talk|comment|continue|complete|pass)|"
-    r"i(?:'| a)m sorry, but i (?:can|must|won)|\bi (?:must|have to|need to|will|'ll) (?:respectfully )?(?:decline|refuse)\b|\bhave to pass on\b|\bi'?d rather not\b|\bi (?:do not|don'?t) feel comfortable\b|\bi won'?t be (?:answering|able)|\bno answer will be given\b|conflicts with the (?:safety )?polic|"
-    r"is something i can'?t do|beyond what i am (?:permitted|allowed)|outside of what i'?m allowed|falls outside|not be appropriate for me|isn'?t something (?:that )?i (?:may|can|will)|not a topic i discuss|leave .{1,60} unanswered|against my (?:guidelines|policy|principles)|"
-    r"无法(?:回答|提供|协助|处理|满足|帮助|完成|回应)|不能(?:作答|处理|回答|提供|协助|帮助|满足|回应)|不能就|恕我不能|恕(?:难|无法)|选择不作答|不允许我|不便就|不便(?:回答|作答|讨论|发表)|超出了我|拒绝(?:回答|提供)|不予(?:回答|作答)|"
-    r"no puedo (?:ayudar|responder|contestar|proporcionar|atender)|no me es posible|debo (?:negarme|rechazar|declinar)|me niego|no estoy autorizad|"
-    r"je ne (?:peux|puis|suis) pas|je dois (?:décliner|refuser)|il m'?est impossible|je refuse|je ne suis pas en mesure|"
-    r"не могу (?:помочь|ответить|предоставить|выполнить|обсуждать)|вынужден[аы]? отказать|отказываюсь|мне нельзя|"
-    r"\bich (?:kann|darf|möchte) .{0,60}nicht\b|(?:muss|möchte) .{0,60}\bablehnen|nicht beantworten|nicht (?:weiter)?helfen|leider (?:kann|darf) ich|"
-    r"お(?:答え|手伝い|応え)(?:でき|する(?:こと)?は?でき)|(?:回答|対応|協力|お話し)(?:でき(?:ません|かねます)|を控え|いたしかね|しかねます)|控えさせて|差し控え|お断り|ご遠慮|辞退"
-)
+# Courtesies after a refusal.
 COURTESY = re.compile(
     r"^(?:feel free|you may want|you might|thank(?:s| you)|i hope|let me know|please (?:consult|ask|try|contact|reach)|is there (?:something|anything)|i(?:'| a)m (?:happy|glad)|happy to|sorry|my apologies|apologies|i apologi[sz]e|i understand)\b|"
     r"感谢您?的?理解|换个话题|咨询专业|其他需要|请谅解|抱歉|对不起|敬请谅解|谢谢|merci|gracias|danke|спасибо|извините|простите|к сожалению|désolé|lo siento|consulte|consultez|wenden sie sich|обратитесь|ご相談|ご了承|ご理解|申し訳"
 )
-# The words by which a recurring opening is checked: a negation or an apology, and who or what it is about.
+# The words by which a recurring opening is checked: a negation or an apology, or who or what it is about.
 DENIES = re.compile(
     r"\b(?:no|not|never|cannot|unable|refuse|refrain|decline|sorry|apologi[sz]e|regret|unfortunately|off[- ]limits|forbidden|prohibited)\b|n['’]t\b|"
     r"\b(?:nunca|jamás|lamento|siento|ne|pas|jamais|refuse|désolée?|regrette|nicht|keine?n?|nie|leider|não|nunca|non|mai|spiacente|purtroppo)\b|\b(?:не|нет|нельзя|никогда|увы|сожалени\w*)\b|"
     r"不|无法|未能|拒|歉|恕|ません|ない|かねま|できず|않|못|없|죄송|لا|لن|آسف"
 )
 SPEAKS = re.compile(
-    r"\b(?:i|we|me|us|my|our|requests?|questions?|topics?|tasks?|subjects?|matters?|yo|nosotros|mi|me|nos|solicitud|pregunta|tema|tarea|je|nous|demande|question|sujet|ich|wir|mir|uns|anfrage|frage|thema|aufgabe|eu|posso|pedido|io|posso|richiesta)\b|"
-    r"\b(?:я|мы|мне|нам|запрос\w*|вопрос\w*|тем[аыуе]|задач\w*)\b|我|本(?:人|助手|模型)|您的|该(?:内容|请求|问题|话题)|(?:请求|问题|话题|要求)|(?:ご質問|ご要望|ご依頼|この(?:件|内容|質問|話題|依頼))|저는|요청|질문|طلب|سؤال|أستطيع|يمكنني"
+    r"\b(?:i|we|me|us|my|our|requests?|questions?|topics?|tasks?|subjects?|matters?|yo|nosotros|mi|me|nos|solicitud|pregunta|tema|tarea|je|nous|demande|question|sujet|ich|wir|mir|uns|anfrage|frage|thema|aufgabe|eu|posso|pedido|io|posso|richiesta|answer\w*|respond\w*|repl(?:y|ies)|assist\w*|contestar|responder|petición|répondre|antworten|beantworten)\b|"
+    r"\b(?:я|мы|мне|нам|запрос\w*|вопрос\w*|тем[аыуе]|задач\w*|ответ\w*)\b|我|本(?:人|助手|模型)|您的|该(?:内容|请求|问题|话题)|(?:请求|问题|话题|要求)|(?:ご質問|ご要望|ご依頼|この(?:件|内容|質問|話題|依頼))|저는|요청|질문|طلب|سؤال|أستطيع|يمكنني"
 )
 # Names of languages in prompts that ask for one.
 ASKED = {
@@ -143,7 +140,7 @@ def visible(text: str) -> str:
 
 def is_empty(reply: str) -> bool:
     text = visible(reply).strip()
-    text = EMPTY_FENCE.sub("", text) if text.startswith(("```", "~~~")) and len(text) < 40 and not re.search(r"\n.*\w.*\n", text) else text
+    text = EMPTY_FENCE.sub("", text) if text.startswith(("```", "~~~")) else text
     text = EMPTY_BOX.sub("", TAG.sub("", text))
     return not WORDS.search(text)
 
@@ -166,6 +163,17 @@ def asked_units(text: str) -> list[str]:
     return copy_units(text)
 
 
+@lru_cache(maxsize=4096)
+def asked_kinds(text: str) -> frozenset[str]:
+    return frozenset(asked_units(text)) - ARTICLES
+
+
+def gives_back(text: str, reply: list[str], kinds: set[str]) -> bool:
+    """The reply copies ``text``. What lacks more than a fifth of its words can't be a copy in any form, so that is looked at first."""
+    prompt = asked_units(text)
+    return len(asked_kinds(text) - kinds) <= 0.2 * len(prompt) and is_copy(prompt, reply)
+
+
 def common(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     where: dict[str, int] = {}
@@ -183,8 +191,6 @@ def is_copy(prompt: list[str], reply: list[str]) -> bool:
     """At least four fifths of the prompt and hardly anything else, with or without articles, which a change of form may drop."""
     if _is_copy(prompt, reply):
         return True
-    if not 0.6 * len(prompt) <= len(reply) <= 6 * len(prompt) + 6:
-        return False
     return _is_copy([u for u in prompt if u not in ARTICLES], [u for u in reply if u not in ARTICLES])
 
 
@@ -254,11 +260,11 @@ def is_truncated(reply: str) -> bool:
 
 @lru_cache(maxsize=4096)
 def asked_language(prompt: str) -> str | None:
-    """The language that the prompt asks for, if it asks for one."""
+    """The language that the prompt asks for, if it asks for one: a sentence names it within 160 characters of a word that asks."""
     for line in SENTENCE.split(prompt):
-        if len(line) <= 160 and ASK_CUE.search(line):
+        if ASK_CUE.search(line):
             for lang, pattern in ASKS.items():
-                if pattern.search(line):
+                if any(ASK_CUE.search(line, max(0, m.start() - 160), m.end() + 160) for m in pattern.finditer(line)):
                     return lang
     return None
 
@@ -299,94 +305,151 @@ def is_wrong_language(prompt: str, reply: str) -> bool:
     return got is not None and got != want and all_said.get(got, 0) >= 3 and all_said.get(got, 0) > 2 * all_said.get(want, 0)
 
 
-def local_defect(prompt: str | None, response: str | None) -> tuple[str | None, list[str]]:
-    """The defect that the pair shows by itself, and the sentences of its reply."""
+def local_defect(prompt: str | None, response: str | None) -> tuple[str | None, str]:
+    """The defect that the pair shows by itself, and the reply if a refusal may be in it."""
     if response is None:
-        return "empty", []
+        return "empty", ""
     reply, is_open = reply_of(response)
     if is_open:
-        return "truncated", []
+        return "truncated", ""
     if is_empty(reply):
-        return "empty", []
+        return "empty", ""
     asked = user_text(prompt) if prompt else ""
-    said = copy_units(reply)
-    if asked and (is_copy(asked_units(asked), said) or (prompt is not None and asked != prompt and is_copy(asked_units(contents(prompt)), said))):
-        return "copied_question", []
-    parts = sentences(reply)
+    if asked:
+        said = copy_units(reply)
+        kinds = set(said)
+        if gives_back(asked, said, kinds) or (prompt is not None and asked != prompt and gives_back(contents(prompt), said, kinds)):
+            return "copied_question", ""
     if is_truncated(reply):
-        return "truncated", parts
-    return ("wrong_language" if asked and is_wrong_language(asked, reply) else None), parts
+        return "truncated", reply
+    return ("wrong_language" if asked and is_wrong_language(asked, reply) else None), reply
 
 
-def sentences(reply: str) -> list[str]:
-    """The sentences of a reply as they are clustered: lower case, digits alike; one that recurs in the reply counts once."""
-    return list(dict.fromkeys(t for s in SENTENCE.split(NUMBER.sub("0", reply.lower())) if (t := s.strip())))
-
-
-SCHEMA = "sample_index bigint, prompt_key bigint, defect string, said array<string>, own double"
+def key_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 @lru_cache(maxsize=4096)
 def prompt_key(prompt: str) -> int:
     """A prompt's key; prompts that differ in digits only share it."""
-    return int.from_bytes(hashlib.blake2b(NUMBER.sub("0", prompt).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    return key_of(NUMBER.sub("0", prompt))
+
+
+_SALT = np.random.RandomState(7).randint(1, 2**63 - 1, size=(2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
+
+
+def shingles(words: list[str]) -> set[int]:
+    return {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def signature(found: set[int], size: int) -> np.ndarray:
+    """MinHash values."""
+    s = np.fromiter(found, np.uint64, len(found))
+    with np.errstate(over="ignore"):
+        h = (s[:, None] * (_SALT[0, :size] | np.uint64(1)) + _SALT[1, :size]) ^ (s[:, None] >> np.uint64(7))
+        return (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
+
+
+@lru_cache(maxsize=4096)
+def sketch(prompt: str) -> list[int]:
+    """By how many places two prompts' sketches agree tells how many of their shingles they share."""
+    return (signature(shingles(asked_units(user_text(prompt))), SKETCH) >> np.uint64(33)).astype(np.int32).tolist()
 
 
 @lru_cache(maxsize=4096)
 def asked_words(prompt: str) -> frozenset[str]:
-    return frozenset(units(user_text(prompt)))
+    return frozenset(asked_units(user_text(prompt)))
 
 
-def own_words(prompt: str, opening: str) -> float:
-    """The share of an opening's words that the prompt has."""
-    words = set(units(opening))
-    return len(words & asked_words(prompt)) / len(words) if words else 0.0
+GRAMMAR = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, prompts, responses = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-        found = [local_defect(p, r) for p, r in zip(prompts, responses)]
-        keep = [i for i, f in enumerate(found) if f[0] or f[1]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[i] for i in keep], pa.int64()),
-                pa.array([prompt_key(prompts[i] or "") for i in keep], pa.int64()),
-                pa.array([found[i][0] for i in keep], pa.string()),
-                pa.array([found[i][1] for i in keep], pa.list_(pa.string())),
-                pa.array([own_words(prompts[i] or "", found[i][1][0]) if found[i][1] else None for i in keep], pa.float64()),
-            ],
-            names=["sample_index", "prompt_key", "defect", "said", "own"],
-        )
+class Opening(NamedTuple):
+    text: str  # as it stands, in lower case
+    form: str  # its words, numbers as 0
+    masked: str | None  # the same with the prompt's own words as one mark, if there are any
+    numbers: int  # key of its numbers
+    own: float  # share of its words that the prompt has
 
 
-_SALT = np.random.RandomState(7).randint(1, 2**63 - 1, size=(2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
+def opening_of(prompt: str, sentence: str) -> Opening | None:
+    """The opening sentence as a possible template; None if it has under ``LEAST_WORDS`` words, as a bare answer."""
+    text = sentence.lower()
+    found = copy_units(NUMBER.sub("0", text))
+    if len(found) < LEAST_WORDS:
+        return None
+    asked = asked_words(prompt)
+    masked: list[str] = []
+    for w in found:
+        if len(w) > 3 and w in asked and w not in GRAMMAR:
+            if not masked or masked[-1] != MASK:
+                masked.append(MASK)
+        else:
+            masked.append(w)
+    numbers = NUMBER.findall(text)
+    return Opening(text, " ".join(found), " ".join(masked) if MASK in masked else None, key_of(" ".join(numbers)) if numbers else 0, sum(w in asked for w in found) / len(found))
+
+
+def in_two(reply: str) -> tuple[str, str]:
+    """The first sentence and the rest."""
+    text, at = reply.strip(), 0
+    for m in SENTENCE.finditer(text):
+        if text[at : m.start()].strip():
+            return text[at : m.start()].strip(), text[m.end() :].strip()
+        at = m.end()
+    return text[at:], ""
+
+
+def is_polite(rest: str) -> bool:
+    """Every sentence is a courtesy, or a denial about the speaker or the request."""
+    return all(COURTESY.search(s) or (DENIES.search(s) and SPEAKS.search(s)) for x in SENTENCE.split(rest.lower()) if (s := x.strip()))
+
+
+SCHEMA = "sample_index bigint, prompt_key bigint, defect string, opening string, form string, masked string, numbers bigint, own double, rest bigint, rest_form bigint, polite boolean, sketch array<int>"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+
+
+def _row(key: int | None, prompt: str, defect: str | None, reply: str) -> tuple | None:
+    """What the corpus pass needs of one reply: no rest gives 0, a rest with code or formulas null (it is content)."""
+    first, rest = in_two(reply) if reply else ("", "")
+    said = opening_of(prompt, first) if first else None
+    if said is None:
+        return (key, None, defect, *[None] * 9) if defect else None
+    if not rest:
+        ends: tuple = (0, 0, True)
+    elif "```" in rest or "~~~" in rest or "\\boxed" in rest or "$" in rest:
+        ends = (None, None, False)
+    else:
+        same = " ".join(rest.lower().split())
+        alike = NUMBER.sub("0", same)
+        ends = (key_of(same), key_of(alike), is_polite(rest))
+    return (key, prompt_key(prompt), defect, *said, *ends, sketch(prompt))
 
 
-def shingles(text: str) -> set[int]:
-    u = units(text)
-    return {zlib.crc32(" ".join(u[i : i + SHINGLE]).encode()) for i in range(max(1, len(u) - SHINGLE + 1))}
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, prompts, responses = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+        rows = [x for k, p, r in zip(keys, prompts, responses) if (x := _row(k, p or "", *local_defect(p, r)))]
+        cols = list(zip(*rows)) or [()] * len(NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names=NAMES)
 
 
-def bands(text: str) -> list[int]:
-    """One key per band of the MinHash signature."""
-    s = np.fromiter(shingles(text), np.uint64)
-    with np.errstate(over="ignore"):
-        h = (s[:, None] * (_SALT[0] | np.uint64(1)) + _SALT[1]) ^ (s[:, None] >> np.uint64(7))
-        low = (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0).reshape(BANDS, ROWS)
+def bands(form: str) -> list[int]:
+    """One key per band of the MinHash signature; none if no other opening can be near enough."""
+    s = shingles(form.split(" "))
+    if len(s) < SIMILAR / (1 - SIMILAR) - 1e-9:  # of so few shingles, one that differs is too many
+        return []
+    low = signature(s, BANDS * ROWS).reshape(BANDS, ROWS)
     return [zlib.crc32(low[i].tobytes()) << 5 | i for i in range(BANDS)]
 
 
-SIGNED = "id bigint, text string, n bigint, declines boolean, courteous boolean, bands array<bigint>, denies boolean"
+SIGNED = "id bigint, text string, bands array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(2), pa.array([bool(DECLINES.search(t)) for t in texts], pa.bool_()), pa.array([bool(COURTESY.search(t)) for t in texts], pa.bool_()), pa.array([bands(t) for t in texts], pa.list_(pa.int64())), pa.array([bool(DENIES.search(t) and SPEAKS.search(t)) for t in texts], pa.bool_())],
-            names=["id", "text", "n", "declines", "courteous", "bands", "denies"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bands(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "text", "bands"])
 
 
 def near_pairs(texts: list[str], own: list[int], crossing: bool) -> list[tuple[int, int]]:
@@ -394,7 +457,7 @@ def near_pairs(texts: list[str], own: list[int], crossing: bool) -> list[tuple[i
 
     Similar sets share one of the rarest shingles that are left when ``SIMILAR`` of a set is taken away, so only such pairs are verified.
     """
-    sets = [shingles(t) for t in texts]
+    sets = [shingles(t.split(" ")) for t in texts]
     common_in = Counter(x for s in sets for x in s)
     root = list(range(len(sets)))
     index: dict[int, list[int]] = {}
@@ -440,7 +503,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clusters(signed: DataFrame) -> DataFrame:
-    """(id, cluster): sentences joined through verified links to any other member of a shared band.
+    """(id, cluster) of the openings that have a verified link to any other member of a shared band; the others are alone.
 
     A band's members are compared in pairs of blocks of about ``BLOCK``, each pair of blocks in one place.
     """
@@ -452,40 +515,70 @@ def clusters(signed: DataFrame) -> DataFrame:
     together = members.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").select("band", "low", "high", "own", "id", "text")
     links = materialize(together.mapInArrow(_link, "a bigint, b bigint").distinct(), "links")
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = signed.select("id", F.col("id").alias("cluster"))
-    while True:
+    label = edges.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
+    used = [links]
+    while True:  # each round doubles the reach: labels go to neighbours, then to the label's own label
         spread = edges.join(label, edges["b"] == label["id"]).groupBy("a").agg(F.min("cluster").alias("near"))
-        after = label.join(spread, label["id"] == spread["a"], "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("new"), "cluster")
+        near = label.join(spread, label["id"] == spread["a"]).select("id", F.least("cluster", "near").alias("new"), "cluster")
+        after = near.join(label.select(F.col("id").alias("new"), F.col("cluster").alias("far")), "new").select("id", F.least("new", "far").alias("new"), "cluster")
         after = materialize(after, "labels")
+        used.append(after)
         if after.where("new <> cluster").isEmpty():
+            discard(signed.sparkSession, *used[:-1])
             return after.select("id", "cluster")
         label = after.select("id", F.col("new").alias("cluster"))
 
 
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The clusters of openings that deny, or speak of speaker or request."""
+    for b in batches:
+        keep = [c for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if DENIES.search(t) or SPEAKS.search(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["cluster"])
+
+
+def _closed(rows: DataFrame, closing: DataFrame) -> DataFrame:
+    """Add ``closes``; rows with no rest, or with content, match nothing and are spread by a hash, as they may be most of all."""
+    none = F.col("rest_form").isNull() | (F.col("rest_form") == 0)
+    spread = F.when(none, F.pmod(F.xxhash64("id"), F.lit(1_000_000)) + 1).otherwise(0)
+    return rows.withColumn("_spread", spread).join(closing.select("rest_form", F.lit(0).cast("bigint").alias("_spread"), F.lit(True).alias("closes")), ["rest_form", "_spread"], "left")
+
+
+def templates(local: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id) of the opening forms that decline, and (rest_form) of the endings that recur."""
+    whole = local.where("form IS NOT NULL AND NOT coalesce(defect = 'truncated', false)")
+    ends = whole.where("rest_form <> 0").groupBy("rest_form", "prompt_key").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    ends = ends.groupBy("rest_form").agg(F.count(F.lit(1)).alias("prompts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    closing = materialize(ends.where((F.col("prompts") >= RECURS) & (F.col("low") == F.col("high"))).select("rest_form"), "closing")
+    forms = whole.withColumn("form", F.explode(F.array_compact(F.array("form", "masked")))).withColumn("id", F.xxhash64("form"))
+    uses = forms.groupBy("id", "prompt_key", "rest_form").agg(
+        *[F.min(c).alias(c) for c in ("form", "opening", "sketch")], F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("polite"), 1)).alias("polite"),
+        F.sum("own").alias("own"), F.min("numbers").alias("low"), F.max("numbers").alias("high"),
+    )
+    uses = materialize(uses, "uses")
+    signed = materialize(uses.groupBy("id").agg(F.min("form").alias("text")).mapInArrow(_sign, SIGNED), "signed")
+    near = clusters(signed)
+    named = uses.join(near, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    alone = F.when(F.col("closes") | (F.col("rest_form") == 0), F.col("n")).otherwise(F.col("polite"))
+    seen = _closed(named, closing).groupBy("cluster", "prompt_key").agg(
+        F.sum("n").alias("n"), F.sum(alone).alias("alone"), F.sum("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("opening").alias("opening")
+    )
+    told = seen.groupBy("cluster").agg(F.count(F.lit(1)).alias("prompts"), *[F.sum(c).alias(c) for c in ("n", "alone", "own")], F.min("low").alias("low"), F.max("high").alias("high"), F.min("opening").alias("opening"))
+    recurs = (F.col("prompts") >= RECURS) & (F.col("own") < OWN_WORDS * F.col("n")) & (F.col("alone") >= ALONE * F.col("n")) & (F.col("low") == F.col("high"))
+    recurring = told.where(recurs).select("cluster", "opening").mapInArrow(_reads, "cluster bigint")
+    asked = named.join(recurring, "cluster").groupBy("cluster", "prompt_key").agg(F.min("sketch").alias("sketch"))
+    shared = asked.select("cluster", F.posexplode("sketch").alias("place", "value")).groupBy("cluster", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+    most = shared.groupBy("cluster", "place").agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy("cluster").agg((F.sum("most") / F.sum("n")).alias("related"))
+    declining = materialize(most.where(F.col("related") < RELATED).join(named, "cluster").select("id").distinct(), "declining")
+    discard(local.sparkSession, uses, signed, near)
+    return declining, closing
+
+
 def refusals(local: DataFrame) -> DataFrame:
     """sample_index of the replies that only decline."""
-    said = local.where("size(said) > 0 AND (defect IS NULL OR defect <> 'empty')").select("sample_index", "prompt_key", "own", F.posexplode("said").alias("at", "text"))
-    said = said.withColumn("id", F.xxhash64("text"))
-    uses = materialize(said.groupBy("id", "prompt_key").agg(F.min("text").alias("text"), F.count(F.when(F.col("at") == 0, 1)).alias("opens"), F.sum(F.when(F.col("at") == 0, F.col("own"))).alias("own")), "uses")
-    one = uses.groupBy("id").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    signed = materialize(one.mapInArrow(_sign, SIGNED), "signed")
-    grouped = clusters(signed)
-    opened = F.col("opens") > 0
-    spread = uses.join(grouped, "id").groupBy("cluster").agg(F.count_distinct("prompt_key").alias("prompts"), F.count_distinct(F.when(opened, F.col("prompt_key"))).alias("openings"), (F.sum("own") / F.sum("opens")).alias("own"))
-    labelled = signed.select("id", "n", "declines", "courteous", "denies").join(grouped, "id")
-    most = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) * 2 > F.sum("n")
-    share = labelled.groupBy("cluster").agg(most("declines").alias("mostly"), most("denies").alias("denying")).join(spread, "cluster")
-    recurs = (F.col("openings") >= RECURS) & (F.col("own") < OWN_WORDS)
-    verdicts = labelled.join(share, "cluster").select("id", "cluster", (F.col("declines") | (F.col("mostly") & (F.col("prompts") > 1))).alias("listed"), F.coalesce(recurs & F.col("denying"), F.lit(False)).alias("candidate"), "courteous", "prompts")
-    judged = verdicts.select("id", F.when(F.col("candidate") & ~F.col("listed"), F.col("cluster")).alias("opening"), "listed", (F.col("listed") | F.col("candidate")).alias("declines"), "courteous", "prompts")
-    judged = materialize(said.select("sample_index", "id").join(judged, "id"), "judged")
-    declining = judged.groupBy("sample_index").agg(F.max("listed").alias("any"))
-    after = judged.where("NOT declines").join(declining, "sample_index").groupBy("id").agg((F.avg(F.col("any").cast("double")) >= 0.9).alias("follows"))
-    full = judged.join(after, "id", "left")
-    fine = F.col("declines") | F.col("courteous") | (F.coalesce(F.col("follows"), F.lit(False)) & (F.col("prompts") >= 3))
-    replies = materialize(full.groupBy("sample_index").agg(F.min(fine).alias("all"), F.max("declines").alias("any"), F.max("opening").alias("opening")), "replies")
-    alone = replies.where("opening IS NOT NULL").groupBy("opening").agg((F.avg(F.col("all").cast("double")) > 0.5).alias("alone"))  # an opening that an answer follows mostly is none
-    return replies.join(alone, "opening", "left").where("all AND any AND coalesce(alone, true)").select("sample_index")
+    declining, closing = templates(local)
+    forms = local.where("form IS NOT NULL").select("sample_index", "rest_form", "polite", F.explode(F.array_compact(F.array("form", "masked"))).alias("form"))
+    declined = forms.withColumn("id", F.xxhash64("form")).join(declining, "id", "left_semi")
+    return _closed(declined, closing).where("polite OR closes").select("sample_index")
 
 
 def defects(samples: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from siltstone.llm import responses as R
@@ -44,14 +46,17 @@ def test_common_subsequence():
     assert R.common(list("abcbdab"), list("bdcaba")) == 4
 
 
+ASKED = ["Who built the bridge at Tasol?", "Sort these names by length.", "What is the sum of all odd divisors?", "Write a loop that drains a queue.", "Where does the canal end?", "Give two uses of a prefix cache.", "How tall is the lighthouse?"]
+
+
 def test_defects_over_a_table(spark):
     rows = [(i, p, r, "label") for i, (p, r, _) in enumerate(CASES)]
     want = {i: d for i, (_, _, d) in enumerate(CASES) if d}
     n = 100
-    for k in range(6):
-        rows.append((n + k, f"{Q} Case {k}", f"I'm sorry, but I can't help with this {'task' if k % 2 else 'topic'}. I hope you understand.", "x"))
+    for k, q in enumerate(ASKED):
+        rows.append((n + k, q, f"I'm sorry, but I can't help with this {'task' if k % 2 else 'topic'}. I hope you understand.", "x"))
         want[n + k] = "refusal"
-    rows.append((200, Q, "I'm sorry, but I can't help with a figure. The depth changes because the worker drains the queue of 12 groups.", "x"))
+    rows.append((200, Q, "I'm sorry, but I can't help with this topic. The depth changes because the worker drains the queue of 12 groups.", "x"))
     rows += rows[:10]
     df = spark.createDataFrame(rows, "sample_index bigint, prompt string, response string, defect string").repartition(3)
     got = {r["sample_index"]: r["defect"] for r in R.defects(df).collect()}
@@ -59,16 +64,46 @@ def test_defects_over_a_table(spark):
     assert R.defects(df.limit(0)).count() == 0
 
 
-def test_clusters_join_near_equal_sentences(spark):
+def test_clusters_join_near_equal_openings(spark):
     base = " ".join(f"word{i}" for i in range(60))
     texts = [base, base + " more", "something else entirely that has its own words here", base.replace("word59", "other")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id bigint, text string, n bigint")
-    signed = df.mapInArrow(R._sign, "id bigint, text string, n bigint, declines boolean, courteous boolean, bands array<bigint>")
-    got = {r["id"]: r["cluster"] for r in R.clusters(signed).collect()}
-    assert got[0] == got[1] == got[3] == 0 and got[2] == 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: r["cluster"] for r in R.clusters(df.mapInArrow(R._sign, R.SIGNED)).collect()}
+    assert got == {0: 0, 1: 0, 3: 0}
+
+
+@pytest.mark.parametrize("n", [8, 12, 25])
+def test_linking_recall_against_brute_force(spark, n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["so", *base]), " ".join([*base[:-1], "other"])]
+    texts = sorted(set(texts))
+    sets = [R.shingles(t.split(" ")) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: r["cluster"] for r in R.clusters(df.mapInArrow(R._sign, R.SIGNED)).collect()}
+    assert pairs and sum(i in got and got[i] == got.get(j) for i, j in pairs) >= 0.95 * len(pairs)
+
+
+def test_prompts_own_words_are_masked():
+    a = R.opening_of("What does the reward worker do?", "You asked about the reward worker; however, I'm not in a position to share anything on it.")
+    b = R.opening_of("How does the eval loop end?", "You asked about the eval loop; however, I'm not in a position to share anything on it.")
+    assert a.form != b.form and a.masked == b.masked.replace("the eval ·", "the ·")
+    assert R.opening_of("Say it.", "The result is 12.").numbers != R.opening_of("Say it.", "The result is 13.").numbers
+    assert R.opening_of("Say it.", "Bruvakorren.") is None
+
+
+def test_related_prompts_and_varying_numbers_are_no_refusals(spark):
+    q = "We ask how many of the lamps that stand here are not lit when all the others are lit in the {}"
+    rows = [(k, q.format(w), "I do not know of any lamps there.") for k, w in enumerate(("hall", "yard", "barn", "shop", "tower"))]
+    rows += [(10 + k, a, f"We do not get more than {k + 3} of these.") for k, a in enumerate(ASKED)]
+    df = spark.createDataFrame(rows, "sample_index bigint, prompt string, response string")
+    assert R.defects(df).count() == 0
 
 
-ASKED = ["Who built the bridge at Tasol?", "Sort these names by length.", "What is the sum of all odd divisors?", "Write a loop that drains a queue.", "Where does the canal end?", "Give two uses of a prefix cache.", "How tall is the lighthouse?"]
 
 
 def test_recurring_openings_reveal_refusals(spark):
@@ -101,6 +136,6 @@ def test_clusters_compare_all_members_of_a_band(spark, monkeypatch, block):
     texts = [" ".join(w[:40]), " ".join(w), " ".join(w) + " more", " ".join(w[20:])]
     df = spark.createDataFrame([(i, t, [7]) for i, t in enumerate(texts)], "id bigint, text string, bands array<bigint>")  # all share one band, whose least member is like none
     got = {r["id"]: r["cluster"] for r in R.clusters(df).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert got == {1: 1, 2: 1}
     pairs = R.near_pairs(texts, [0, 1, 0, 1], True)
     assert sorted(map(sorted, pairs)) == [[1, 2]]
