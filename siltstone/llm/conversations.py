@@ -1,9 +1,11 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-The rows are read as a stream. Each message is parsed once (speaker, place, blank, calls tools), then kept in keyed state: a session of
-its conversation, held open until the event-time watermark has passed the session's last message by ``gap``. Late arrivals up to ``delay``
-behind the newest event join their session. A run over a bounded table ends with a closing row that moves the watermark past every
-session. The closed sessions of a conversation are then put together, ordered and checked, and only intact conversations come out.
+The rows are read as a stream in batches of bounded size. Each message is parsed once (speaker, place, blank, calls tools), then kept in keyed
+state (RocksDB, on disk): a session of its conversation, held open until the event-time watermark has passed the session's last message by
+``gap``. Late arrivals up to ``delay`` behind the newest event join their session; closed sessions leave the state while the stream goes on.
+A run over a bounded table ends with a closing row, which is written once the table is read to its end and moves the watermark past every
+session that is still open. Messages that came later than the watermark allows are counted, and then taken from the table into a last
+session of their own. The closed sessions of a conversation are put together, ordered and checked, and only intact conversations come out.
 
 Only ids, places and flags are kept in state, never the texts, so the state of a long conversation stays small.
 
@@ -34,6 +36,9 @@ CODES = {"system": 0, "user": 1, "assistant": 2, "tool": 3}
 NAMES = {v: k for k, v in CODES.items()}
 BLANK = r"[\s\p{Z}\p{C}]+"
 TURNS = "sample_index bigint, turn_no int, message_id bigint, role string"
+#: Bound of a micro-batch.
+BATCH = {"maxBytesPerTrigger": str(64 << 30)}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 COLUMNS = ["message_id", "sample_index", "message_content", "metadata", "created_at", "ingested_at"]
 
 
@@ -153,24 +158,41 @@ def _stream_path(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if is_file else path
 
 
-def rebuild(spark: SparkSession, path: str, delay: str = "10 days", gap: str = "2 days") -> DataFrame:
-    """Run the stream over the Parquet table at ``path`` to its end and return the turns of all intact conversations."""
+def too_late(spark: SparkSession, path: str, closed: DataFrame) -> DataFrame:
+    """The messages of the table that no closed session holds, as sessions (each delivered copy counts)."""
+    kept = closed.where("sample_index IS NOT NULL").select("sample_index", F.explode("messages").alias("m")).select("sample_index", F.col("m.id").alias("_id"), F.col("m.at").alias("_at"))
+    rows = parsed(spark.read.parquet(path).select(*COLUMNS).where("sample_index IS NOT NULL"))
+    same = (rows["sample_index"] == kept["sample_index"]) & rows["message.id"].eqNullSafe(kept["_id"]) & rows["message.at"].eqNullSafe(kept["_at"])
+    return rows.join(kept, same, "left_anti").groupBy("sample_index").agg(F.collect_list("message").alias("messages"))
+
+
+def rebuild(spark: SparkSession, path: str, delay: str = "10 days", gap: str = "2 days", batch: dict[str, str] | None = None) -> DataFrame:
+    """Run the stream over the Parquet table at ``path`` to its end and return the turns of all intact conversations.
+
+    ``batch`` bounds a micro-batch, in options of the file source.
+    """
     schema = spark.read.parquet(path).select(*COLUMNS).schema
-    stream = spark.readStream.schema(schema).parquet(_stream_path(spark, path)).withColumn("closing", F.lit(False))
-    end = scratch_path(spark, "closing")
-    spark.range(1).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "created_at"], F.lit("9990-01-01").cast("timestamp").alias("created_at")
-    ).select(*COLUMNS).coalesce(1).write.parquet(end)
+    stream = spark.readStream.schema(schema).options(**(batch or BATCH)).parquet(_stream_path(spark, path)).withColumn("closing", F.lit(False))
+    end, out, state = scratch_path(spark, "closing"), scratch_path(spark, "sessions"), scratch_path(spark, "conversations-state")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(end)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     closing = spark.readStream.schema(schema).parquet(end).withColumn("closing", F.lit(True))
-    out = scratch_path(spark, "sessions")
-    closed = sessions(stream.unionByName(closing), delay, gap)
-    query = (
-        closed.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "conversations-state"))
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start()
-    )
-    query.awaitTermination()
-    return conversations(spark.read.schema(closed.schema).parquet(out))
+    plan = sessions(stream.unionByName(closing), delay, gap)
+
+    def run() -> None:
+        plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+
+    provider = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run()  # all batches of the table; sessions that the watermark has passed close on the way
+        last = {f.name: F.lit("9990-01-01").cast("timestamp") if f.name == "created_at" else F.lit(None).cast(f.dataType) for f in schema}
+        spark.range(1).select(*[c.alias(n) for n, c in last.items()]).coalesce(1).write.mode("append").parquet(end)
+        run()  # the closing row
+    finally:
+        spark.conf.unset(PROVIDER) if provider is None else spark.conf.set(PROVIDER, provider)
+    closed = spark.read.schema(plan.schema).parquet(out)
+    kept = closed.where("sample_index IS NOT NULL").agg(F.coalesce(F.sum(F.size("messages")), F.lit(0))).first()[0]
+    if kept < spark.read.parquet(path).where("sample_index IS NOT NULL").count():
+        closed = closed.unionByName(too_late(spark, path, closed))
+    return conversations(closed)

@@ -1,7 +1,10 @@
 import json
+import os
 from datetime import datetime, timedelta
 
-from siltstone.llm.conversations import order, rebuild
+from pyspark.sql import functions as F
+
+from siltstone.llm.conversations import order, rebuild, sessions
 
 T0 = datetime(2031, 1, 1)
 SCHEMA = "message_id bigint, group_index bigint, sample_index bigint, message_content string, created_at timestamp, ingested_at timestamp, metadata string, message string"
@@ -74,3 +77,51 @@ def test_pause_longer_than_the_gap(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(path)
     got = sorted((r["sample_index"], r["turn_no"], r["message_id"]) for r in rebuild(spark, path).collect())
     assert got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4)]
+
+
+def files(spark, tmp_path, parts):
+    """One file per part, read in this order at one file a batch."""
+    path = tmp_path / "message_rows.parquet"
+    path.mkdir()
+    for n, rows in enumerate(parts):
+        df = spark.createDataFrame([(m, 1, s, "x", at, at + timedelta(days=late), md, "") for m, s, at, late, md in rows], SCHEMA)
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        (part,) = (tmp_path / f"part{n}").glob("*.parquet")
+        target = path / f"{n}.parquet"
+        part.rename(target)
+        os.utime(target, (1_900_000_000 + n, 1_900_000_000 + n))
+    return str(path)
+
+
+def at(days):
+    return T0 + timedelta(days=days)
+
+
+def user(n):
+    return j(role="user", turn_idx=n)
+
+
+def reply(n):
+    return j(role="assistant", turn_idx=n)
+
+
+def test_several_batches(spark, tmp_path):
+    parts = [
+        [(1, 1, at(0), 0, user(0)), (3, 2, at(0), 0, user(0))],
+        [(2, 1, at(0.1), 0, reply(1)), (5, 3, at(1), 0, user(0))],
+        [(6, 3, at(1), 0, reply(1)), (7, 4, at(30), 0, user(0))],  # the watermark passes the first days
+        [(8, 4, at(30), 0, reply(1)), (4, 2, at(0.2), 29, reply(1))],  # too late for its session
+    ]
+    path = files(spark, tmp_path, parts)
+    got = sorted((r["sample_index"], r["turn_no"], r["message_id"]) for r in rebuild(spark, path, batch={"maxFilesPerTrigger": "1"}).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (2, 0, 3), (2, 1, 4), (3, 0, 5), (3, 1, 6), (4, 0, 7), (4, 1, 8)]
+
+
+def test_sessions_close_on_the_way(spark, tmp_path):
+    parts = [[(1, 1, at(0), 0, user(0)), (2, 1, at(0), 0, reply(1))], [(3, 2, at(40), 0, user(0))], [(4, 2, at(40), 0, reply(1))]]
+    path = files(spark, tmp_path, parts)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("closing", F.lit(False))
+    out = str(tmp_path / "out")
+    sessions(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["sample_index"] for r in spark.read.parquet(out).collect()] == [1]  # the second conversation is still open
