@@ -94,11 +94,11 @@ def search_score(valid: Column, retrieved: Column, answer: Column, matched: Colu
     return F.when(answer.isNull(), base.otherwise(0.0)).when(matched, F.when(valid, score).otherwise(score - structure)).otherwise(base.otherwise(final))
 
 
-def last_boxed(s: str | None, names: tuple[str, ...] = ("\\boxed",)) -> str | None:
+def last_boxed(s: str | None) -> str | None:
     """The last balanced boxed expression, with its command."""
     if not s:
         return None
-    at = max(s.rfind(n + "{") for n in names)
+    at = s.rfind("\\boxed{")
     if at < 0:
         return None
     depth = 0
@@ -112,9 +112,13 @@ def last_boxed(s: str | None, names: tuple[str, ...] = ("\\boxed",)) -> str | No
     return None
 
 
-def boxed_content(s: str | None, names: tuple[str, ...] = ("\\boxed", "\\fbox")) -> str | None:
-    box = last_boxed(s, names)
-    return None if box is None else box[box.index("{") + 1 : -1]
+def boxed_content(s: str | None) -> str | None:
+    """What the last box holds; a frame box, or a box command without its brace, holds no answer."""
+    at = (s or "").rfind("\\boxed")
+    if at < 0 or not s.startswith("\\boxed{", at):
+        return None
+    box = last_boxed(s[at:])
+    return None if box is None else box[len("\\boxed{") : -1]
 
 
 # Replacements and removals of the final-answer normal form.
@@ -162,7 +166,8 @@ def stated_score(response: Column, truth: Column) -> Column:
 
 def strict_box(response: str | None, truth: str | None) -> tuple[int, str | None]:
     """1 if the last box within the last 100 characters holds exactly the truth, else -1."""
-    got = boxed_content((response or "")[-100:], ("\\boxed",))
+    box = last_boxed((response or "")[-100:])
+    got = None if box is None else box[len("\\boxed{") : -1]
     return (1 if got is not None and got == truth else -1), got
 
 
@@ -251,7 +256,7 @@ def loose_math(s: str | None) -> str | None:
 
 
 def loose_equal(truth: str | None, given: str | None) -> bool:
-    """Equal loose forms, element by element for tuples; integers must be spelled as integers, fractions must be reduced alike.
+    """Equal loose forms, element by element for tuples; both must be whole numbers or neither, fractions must be reduced alike.
 
     Symbolic simplification is used only where sympy can be imported.
     """
@@ -274,13 +279,25 @@ def _elements(x: str) -> list[str]:
     return [x]
 
 
+# Powers that aren't simplified, as that may not end.
+COSTLY = re.compile(r"\^\{|\^\(|\^[0-9]+\^|\^[0-9][0-9]+")
+
+
+def _is_whole(x: str) -> bool:
+    try:
+        v = float(re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", x))
+        return abs(v - round(v)) <= 1e-7
+    except (ValueError, OverflowError):
+        return False
+
+
 def _element_equal(x: str, y: str) -> bool:
     if x == y:
         return True
     is_fraction = re.compile(r"-?[0-9]+.?/0*[1-9][0-9]*.?")
     if is_fraction.fullmatch(x) and is_fraction.fullmatch(y):
         return False
-    if re.fullmatch(r"-?\d+", x) and not re.fullmatch(r"-?\d+", y):
+    if _is_whole(x) != _is_whole(y):
         return False
     u, v = _value(x), _value(y)
     if u is not None and v is not None:
@@ -290,7 +307,10 @@ def _element_equal(x: str, y: str) -> bool:
         from sympy.parsing import sympy_parser
     except ImportError:
         return False
-    expr = f"({x})-({y})".replace("^", "**")
+    expr = f"({x})-({y})"
+    if COSTLY.search(expr):
+        return False
+    expr = expr.replace("^", "**")
     if len({c for c in expr.replace("sqrt", "").replace("frac", "") if c.isalpha()}) > 2:
         return False
     try:

@@ -69,11 +69,11 @@ def rollout_step(rollout: Column, per_step: int, batch: int, global_batch: int)
 
 
 def periodic(rollout: Column, interval: int | None, per_epoch: int | None, total: int | None) -> Column:
-    """Every ``interval`` rollouts, at the end of each epoch, and at the last rollout."""
+    """Every ``interval`` rollouts, at the end of each epoch, and at the last rollout; never without an interval."""
+    if interval is None:
+        return F.lit(False)
     n = rollout + 1
-    out = F.lit(False)
-    if interval:
-        out = out | (F.pmod(n, F.lit(interval)) == 0)
+    out = F.pmod(n, F.lit(interval)) == 0
     if per_epoch:
         out = out | (F.pmod(n, F.lit(per_epoch)) == 0)
     if total:

@@ -62,3 +62,31 @@ def first_at_ranks(counts: DataFrame, keys: list[str], value: str, n: str, basis
     return ranked.withColumn("_hit", hit).where(F.size("_hit") > 0).select(
         *keys, F.explode("_hit").alias("basis_points"), F.col(value), F.col("_total").alias("n_values")
     )
+
+
+def running_max(blocks_df: DataFrame, keys: list[str], order: list[str], value: str, inclusive: bool = True) -> DataFrame:
+    """Add ``_max``: the maximum of ``value`` over the rows so far in ``order`` within ``keys`` (without the row itself if not ``inclusive``).
+
+    ``blocks_df`` comes from ``range_blocks`` over the same keys and order; it keeps its ``_block``. The maximum carried into a block enters
+    its window as a row of its own, so no task holds more than one block of a group.
+    """
+    group = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocks_df.groupBy(*keys, "_block").agg(F.max(value).alias("_top")).withColumn("_top", F.max("_top").over(group))
+    heads = tops.select(*keys, "_block", *[F.lit(None).cast(blocks_df.schema[c].dataType).alias(c) for c in blocks_df.columns if c not in (*keys, "_block")], F.lit(0).alias("_head"), F.col("_top").alias("_step"))
+    rows = blocks_df.withColumns({"_head": F.lit(1), "_step": F.col(value)}).select(*heads.columns)
+    upto = Window.partitionBy(*keys, "_block").orderBy("_head", *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return rows.unionByName(heads).withColumn("_max", F.max("_step").over(upto)).where("_head = 1").drop("_head", "_step")
+
+
+def interpolated(counts: DataFrame, keys: list[str], value: str, n: str, probs: dict[str, float], blocks: int | None = None) -> DataFrame:
+    """Exact percentiles per group, interpolated between neighbouring ranks, from (group, value, count) rows; one column per name."""
+    ranked = running_total(counts, keys, [value], n, blocks)
+    at = [(name, side, F.lit(p) * (F.col("_total") - 1)) for name, p in probs.items() for side in ("low", "high")]
+
+    def rank(side, h):
+        return (F.floor(h) if side == "low" else F.ceil(h)) + 1
+
+    picks = [F.max(F.when((rank(side, h) > F.col("_cum") - F.col(n)) & (rank(side, h) <= F.col("_cum")), F.col(value))).alias(f"_{name}_{side}") for name, side, h in at]
+    per = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    part = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
+    return per.select(*keys, *[(F.col(f"_{x}_low") + (F.col(f"_{x}_high") - F.col(f"_{x}_low")) * (h - F.floor(h))).alias(x) for x, h in part.items()])

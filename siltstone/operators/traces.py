@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.cumulative import range_blocks, running_max
+from siltstone.session import materialize
+
 
 def match_spans(events: DataFrame, keys: list[str], span: str, kind: str, at: str, seq: str) -> DataFrame:
     """One row per span: closed (start and end), open (start only) or orphan (end only). A repeated start replaces an open one."""
@@ -26,8 +29,6 @@ def depths(spans: DataFrame, trace: str, span: str, parent: str, rounds: int = 2
 
     Pointer doubling: each round joins a span to the ancestor it points at, so ``r`` rounds reach depth 2**r.
     """
-    from siltstone.session import materialize
-
     known = spans.select(F.col(trace).alias("_t"), F.col(span).alias("_p"))
     base = spans.join(known, (F.col(trace) == F.col("_t")) & (F.col(parent) == F.col("_p")), "left")
     state = base.select(trace, span, F.col("_p").alias("up"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
@@ -42,12 +43,17 @@ def depths(spans: DataFrame, trace: str, span: str, parent: str, rounds: int = 2
 
 
 def busy_intervals(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Merged intervals per key: a span joins while it starts at or before the running end."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    islands = marked.withColumn("_island", F.sum("_new").over(w))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n_spans")).drop("_island")
+    """Merged intervals per key, and the end of the one before: a span joins while it starts at or before the running end.
+
+    A stream may hold any share of the spans: running maxima are taken in range blocks with the maximum carried from block to block, first
+    of the ends, then of the starts of new intervals, which name them.
+    """
+    rows = spans.select(*keys, start, end).withColumn("_tie", F.monotonically_increasing_id())
+    order = [start, end, "_tie"]
+    reached = running_max(range_blocks(rows, keys, order), keys, order, end, inclusive=False).withColumnRenamed("_max", "_reach")
+    marked = reached.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start)))
+    named = running_max(materialize(marked, "marked"), keys, order, "_new")
+    return named.groupBy(*keys, F.col("_max").alias("start")).agg(F.max(end).alias("end"), F.count(F.lit(1)).alias("n_spans"), F.min(F.when(F.col("_new").isNotNull(), F.col("_reach"))).alias("previous_end"))
 
 
 def utilisation(merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,8 +62,8 @@ def utilisation(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gaps(merged: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start")
-    return merged.withColumn("_prev", F.lag("end").over(w)).where("_prev < start").select(*keys, F.col("_prev").alias("gap_start"), F.col("start").alias("gap_end"), (F.col("start") - F.col("_prev")).alias("gap"))
+    """The idle times between merged intervals."""
+    return merged.where("previous_end < start").select(*keys, F.col("previous_end").alias("gap_start"), F.col("start").alias("gap_end"), (F.col("start") - F.col("previous_end")).alias("gap"))
 
 
 def first_overlap(gap: DataFrame, ops: DataFrame, keys: list[str], start: str, end: str, name: str, seq: str, width: float) -> DataFrame:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.tokens import discounted
+
 THRESHOLDS = (1.0, 1.2, 1.5, 2.0, 3.0)
 
 
 def folded_rewards(turns: DataFrame, key: list[str], turn: str, reward: str, removed: str, gamma: float) -> DataFrame:
     """Add ``multi_turn_reward``: R_t = r_t + gamma * R_{t+1} with removed turns at 0, folded over each trajectory's ordered turns."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.when(F.col(removed), 0.0).otherwise(F.col(reward)).alias("r"))))
-    start = F.struct(F.array().cast("array<struct<t:bigint,g:double>>").alias("out"), F.lit(0.0).alias("g"))
-
-    def step(s: Column, x: Column) -> Column:
-        g = x["r"] + gamma * s["g"]
-        return F.struct(F.concat(F.array(F.struct(x["t"].cast("bigint").alias("t"), g.alias("g"))), s["out"]).alias("out"), g.alias("g"))
-
-    folded = turns.groupBy(*key).agg(rows.alias("_rows")).select(*key, F.explode(F.aggregate(F.reverse("_rows"), start, step, lambda s: s["out"])).alias("_x"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(turn).cast("bigint").alias("t"), F.when(F.col(removed), 0.0).otherwise(F.col(reward)).cast("double").alias("r"))))
+    folded = turns.groupBy(*key).agg(rows.alias("_rows")).withColumn("_g", discounted(F.col("_rows.r"), gamma))
+    folded = folded.select(*key, F.explode(F.arrays_zip(F.col("_rows.t").alias("t"), F.col("_g").alias("g"))).alias("_x"))
     folded = folded.select(*key, F.col("_x.t").alias(turn), F.col("_x.g").alias("multi_turn_reward"))
     return turns.withColumn(turn, F.col(turn).cast("bigint")).join(folded, [*key, turn])
 

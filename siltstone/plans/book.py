@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
-
-from siltstone.plans.views import TRAJECTORIES, TURNS, trajectories
 
 
 class Book:
@@ -23,8 +20,3 @@ class Book:
             return f
 
         return keep
-
-    def whole(self, name: str, sql: str | None = None) -> None:
-        """Register a query on ``views.turns`` once more, on whole trajectories."""
-        sql = sql or self.sql[name].replace(TURNS, TRAJECTORIES)
-        self.add(f"{name}_whole", sql)(partial(self.queries[name], turns=trajectories))

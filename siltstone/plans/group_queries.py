@@ -51,8 +51,8 @@ def f04(spark, d):
     "F05_keep_by_last_real_turn",
     f"{ST}, l AS (SELECT user_id, max(turn_idx) AS turn_idx FROM t WHERE NOT removed GROUP BY user_id), k AS (SELECT t.user_id FROM t JOIN l USING (user_id, turn_idx) WHERE t.reward > 0.5) SELECT user_id, turn_idx, reward FROM t WHERE user_id IN (SELECT user_id FROM k)",
 )
-def f05(spark, d, turns=V.turns):
-    t = turns(spark, d)
+def f05(spark, d):
+    t = V.turns(spark, d)
     last = T.last_real_turn(t, ["user_id"], "turn_idx", "removed")
     good = t.join(last, ["user_id", "turn_idx"]).where("reward > 0.5").select("user_id")
     return t.join(good, "user_id", "left_semi").select("user_id", "turn_idx", "reward")
@@ -127,13 +127,13 @@ m AS (SELECT *, max(CASE WHEN first OR NOT removed THEN v END) OVER (PARTITION B
 
 
 @book.add("F16_finalise_positive", f"{ST}, {FINAL} SELECT user_id, turn_idx, removed OR coalesce(NOT first AND NOT removed AND top > 0 AND v <= 0, false) AS final_removed FROM m")
-def f16(spark, d, turns=V.turns):
-    return T.finalise(turns(spark, d), ["user_id"], "turn_idx", "reward", "removed").select("user_id", "turn_idx", "final_removed")
+def f16(spark, d):
+    return T.finalise(V.turns(spark, d), ["user_id"], "turn_idx", "reward", "removed").select("user_id", "turn_idx", "final_removed")
 
 
 @book.add("W04_finalise_improve", f"{ST}, {FINAL} SELECT user_id, turn_idx, removed OR coalesce(NOT first AND NOT removed AND top > 0 AND v <= top, false) AS final_removed FROM m")
-def w04(spark, d, turns=V.turns):
-    return T.finalise(turns(spark, d), ["user_id"], "turn_idx", "reward", "removed", "improve").select("user_id", "turn_idx", "final_removed")
+def w04(spark, d):
+    return T.finalise(V.turns(spark, d), ["user_id"], "turn_idx", "reward", "removed", "improve").select("user_id", "turn_idx", "final_removed")
 
 
 @book.add("F17_mark_removed", f"{S} SELECT sample_index, CASE WHEN status = 'aborted' THEN 0.0 ELSE reward END AS reward, CASE WHEN status = 'aborted' THEN 'model_abort' END AS reason FROM s")
@@ -202,8 +202,8 @@ LIVE = "CASE WHEN NOT removed THEN reward END"
     "A05_turn_reward_norm",
     f"{ST} SELECT user_id, turn_idx, round(coalesce(({LIVE} - avg({LIVE}) OVER w) / (coalesce(stddev_samp({LIVE}) OVER w, 0.0) + 1e-6), 0.0), 6) + 0.0 AS norm_reward FROM t WINDOW w AS (PARTITION BY user_id % 8, turn_idx)",
 )
-def a05(spark, d, turns=V.turns):
-    t = turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
+def a05(spark, d):
+    t = V.turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
     return G.normalise_turns(t, ["grp", "turn_idx"], "reward", "removed").select("user_id", "turn_idx", r6(F.col("norm_reward")).alias("norm_reward"))
 
 
@@ -233,16 +233,16 @@ def w05(spark, d):
     "W03_multi_turn_fold",
     f"{ST} SELECT user_id, turn_idx, round(sum(CASE WHEN removed THEN 0.0 ELSE reward END * pow(0.5, turn_idx)) OVER (PARTITION BY user_id ORDER BY turn_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.5, turn_idx), 6) AS multi_turn_reward FROM t",
 )
-def w03(spark, d, turns=V.turns):
-    return T.folded_rewards(turns(spark, d), ["user_id"], "turn_idx", "reward", "removed", 0.5).select("user_id", "turn_idx", r6(F.col("multi_turn_reward")).alias("multi_turn_reward"))
+def w03(spark, d):
+    return T.folded_rewards(V.turns(spark, d), ["user_id"], "turn_idx", "reward", "removed", 0.5).select("user_id", "turn_idx", r6(F.col("multi_turn_reward")).alias("multi_turn_reward"))
 
 
 FAST = ", ".join(f"round(avg(CAST(reward > 0.4 AND speedup >= {t} AS INTEGER)), 6) AS fast_at_{str(t).replace('.', '_')}" for t in T.THRESHOLDS)
 
 
 @book.add("A15_turn_metrics", f"{ST} SELECT turn_idx, round(avg(CAST(reward > 0.4 AS INTEGER)), 6) AS correctness, round(avg(CAST(NOT removed AS INTEGER)), 6) AS compilation, round(avg(speedup), 6) AS speedup, {FAST} FROM t GROUP BY turn_idx")
-def a15(spark, d, turns=V.turns):
-    out = T.turn_metrics(turns(spark, d), "turn_idx", F.col("reward") > 0.4, ~F.col("removed"), F.col("speedup"))
+def a15(spark, d):
+    out = T.turn_metrics(V.turns(spark, d), "turn_idx", F.col("reward") > 0.4, ~F.col("removed"), F.col("speedup"))
     return out.select("turn_idx", *[r6(F.col(c)).alias(c) for c in out.columns if c != "turn_idx"])
 
 
@@ -254,8 +254,8 @@ PER = ", ".join(f"max(CASE WHEN turn_idx < {k} THEN CAST(ok AS INTEGER) END) AS
     "A16_trajectory_metrics",
     f"{ST}, o AS (SELECT *, reward > 0.4 AS ok, NOT removed AS built FROM t), q AS (SELECT user_id, arg_min(ok, turn_idx) AS f, arg_max(ok, turn_idx) AS l, {PER} FROM o GROUP BY user_id) SELECT round(avg(CAST(f AS INTEGER)), 6) AS first_turn_correct_rate, round(avg(CAST(l AS INTEGER)), 6) AS last_turn_correct_rate, count(CASE WHEN NOT f AND l THEN 1 END) AS improved_samples, count(CASE WHEN f AND NOT l THEN 1 END) AS regressed_samples, count(CASE WHEN NOT f AND l THEN 1 END) - count(CASE WHEN f AND NOT l THEN 1 END) AS net_improvement, {BEST} FROM q",
 )
-def a16(spark, d, turns=V.turns):
-    out = T.trajectory_metrics(turns(spark, d), ["user_id"], "turn_idx", F.col("reward") > 0.4, ~F.col("removed"), F.col("speedup"))
+def a16(spark, d):
+    out = T.trajectory_metrics(V.turns(spark, d), ["user_id"], "turn_idx", F.col("reward") > 0.4, ~F.col("removed"), F.col("speedup"))
     return out.select(*[(r6(F.col(c)) if t == "double" else F.col(c)).alias(c) for c, t in out.dtypes])
 
 
@@ -263,26 +263,27 @@ def a16(spark, d, turns=V.turns):
     "W07_prefix_best",
     f"{ST} SELECT user_id, turn_idx, max(speedup) OVER w AS best, bool_or(reward > 0.4) OVER w AS any_correct, first_value(reward) OVER w AS first_reward FROM t WINDOW w AS (PARTITION BY user_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
-def w07(spark, d, turns=V.turns):
+def w07(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return turns(spark, d).select("user_id", "turn_idx", F.max("speedup").over(w).alias("best"), F.bool_or(F.col("reward") > 0.4).over(w).alias("any_correct"), F.first("reward").over(w).alias("first_reward"))
+    return V.turns(spark, d).select("user_id", "turn_idx", F.max("speedup").over(w).alias("best"), F.bool_or(F.col("reward") > 0.4).over(w).alias("any_correct"), F.first("reward").over(w).alias("first_reward"))
 
 
 @book.add("G01_regroup_by_turn", f"{ST} SELECT user_id % 8 AS grp, turn_idx, count(*) AS n, string_agg(CAST(sample_index AS VARCHAR), ',' ORDER BY sample_index) AS members FROM t GROUP BY ALL")
-def g01(spark, d, turns=V.turns):
-    t = turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
+def g01(spark, d):
+    t = V.turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
     return T.regroup_by_turn(t, "grp", "turn_idx", "sample_index").select("grp", "turn_idx", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @book.add(
     "J14_turn_spine",
-    f"{ST}, k AS (SELECT DISTINCT user_id FROM t), sp AS (SELECT user_id, x AS turn_idx FROM k, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS x)) SELECT sp.user_id, CAST(sp.turn_idx AS BIGINT) AS turn_idx, t.sample_index IS NULL AS is_pad_turn, coalesce(t.reward, 0.0) AS reward FROM sp LEFT JOIN t ON sp.user_id = t.user_id AND sp.turn_idx = t.turn_idx",
+    f"{ST}, k AS (SELECT DISTINCT user_id FROM t), sp AS (SELECT user_id, x AS turn_idx FROM k, (SELECT unnest(range((SELECT max(turn_idx) + 1 FROM t))) AS x)) SELECT sp.user_id, CAST(sp.turn_idx AS BIGINT) AS turn_idx, t.sample_index IS NULL AS is_pad_turn, coalesce(t.reward, 0.0) AS reward FROM sp LEFT JOIN t ON sp.user_id = t.user_id AND sp.turn_idx = t.turn_idx",
 )
-def j14(spark, d, turns=V.turns):
-    t = turns(spark, d)
-    n = 6 if turns is V.turns else (t.agg(F.max("turn_idx")).first()[0] or 0) + 1
+def j14(spark, d):
+    """Padded to the longest trajectory."""
+    t = V.turns(spark, d)
+    n = (t.agg(F.max("turn_idx")).first()[0] or 0) + 1
     return T.pad_turns(t, ["user_id"], "turn_idx", n, {"reward": F.lit(0.0)}).select("user_id", "turn_idx", "is_pad_turn", "reward")
 
 
@@ -292,11 +293,3 @@ def j10(spark, d):
 
     w = Window.partitionBy("group_index")
     return V.samples(spark, d).select("sample_index", F.max("reward").over(w).alias("best"), F.count(F.lit(1)).over(w).alias("n"))
-
-
-for _name in ("A05_turn_reward_norm", "A15_turn_metrics", "A16_trajectory_metrics", "W03_multi_turn_fold", "W04_finalise_improve", "W07_prefix_best", "F05_keep_by_last_real_turn", "F16_finalise_positive", "G01_regroup_by_turn"):
-    book.whole(_name)
-book.whole(
-    "J14_turn_spine",
-    f"WITH {V.SAMPLES}, {V.TRAJECTORIES}, k AS (SELECT DISTINCT user_id FROM t), sp AS (SELECT user_id, x AS turn_idx FROM k, (SELECT unnest(range((SELECT max(turn_idx) + 1 FROM t))) AS x)) SELECT sp.user_id, CAST(sp.turn_idx AS BIGINT) AS turn_idx, t.sample_index IS NULL AS is_pad_turn, coalesce(t.reward, 0.0) AS reward FROM sp LEFT JOIN t ON sp.user_id = t.user_id AND sp.turn_idx = t.turn_idx",
-)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import retrieval as R
+from siltstone.operators.cumulative import running_total
 from siltstone.plans import views as V
 from siltstone.plans.book import Book
 from siltstone.session import table
@@ -13,14 +14,13 @@ from siltstone.session import table
 book = Book()
 S = f"WITH {V.SAMPLES}"
 c = F.col
-HEADS = 5000
 
 
 @book.add("J01_positional_alignment", "SELECT item_id, dataset_path, row_number() OVER (PARTITION BY dataset_path ORDER BY item_id) - 1 AS pos FROM eval_items")
 def j01(spark, d):
-    packed = table(spark, d, "eval_items").groupBy("dataset_path").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
-    zipped = F.arrays_zip(c("ids"), F.transform("ids", lambda x, i: i.cast("bigint")).alias("pos"))
-    return packed.select("dataset_path", F.explode(zipped).alias("x")).select(c("x.ids").alias("item_id"), "dataset_path", c("x.pos").alias("pos"))
+    """Positions by key from running counts, so a set may hold any share of the rows."""
+    rows = running_total(table(spark, d, "eval_items").select("item_id", "dataset_path").withColumn("one", F.lit(1).cast("bigint")), ["dataset_path"], ["item_id"], "one")
+    return rows.select("item_id", "dataset_path", (c("_cum") - 1).alias("pos"))
 
 
 @book.add("J02_document_lookup", "SELECT d.doc_id, d.title FROM documents d JOIN eval_items e ON d.doc_id = e.item_id - 9000")
@@ -63,19 +63,10 @@ def j04(spark, d):
 
 @book.add("J12_containment", "SELECT e.item_id, count(d.doc_id) AS n FROM eval_items e LEFT JOIN documents d ON contains(d.text, e.item_prompt) GROUP BY e.item_id")
 def j12(spark, d):
-    """Which whole item prompts stand in documents: candidates share the prompt's first 24 characters at a line start or anywhere.
-
-    The exact check runs per candidate; candidates come from an equality on a shingle of the prompt, so no cross join is formed.
-    """
-    items = table(spark, d, "eval_items").select("item_id", "item_prompt", F.substring("item_prompt", 1, 24).alias("head"))
-    heads = sorted(r["head"] for r in items.where("head <> ''").select("head").distinct().toLocalIterator())
-    docs, seen = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), None
-    for i in range(0, max(len(heads), 1), HEADS):  # a pattern of bounded size per pass; more heads are more passes
-        pattern = "(" + "|".join("\\Q" + h + "\\E" for h in heads[i : i + HEADS]) + ")"
-        part = docs.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("head"))
-        seen = part if seen is None else seen.unionByName(part)
-    hits = seen.join(items, "head").where(F.contains("text", "item_prompt")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
+    """Which whole item prompts stand in documents, in one automaton pass."""
+    items = table(spark, d, "eval_items").select("item_id", "item_prompt")
+    hits = R.containment_counts(table(spark, d, "documents"), items, "text", "item_prompt")
+    return items.join(hits, items["item_prompt"] == hits["item"], "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @book.add("J13_first_containing", "WITH s AS (SELECT group_index, sample_index, max(response) AS r, max(label) AS l FROM samples WHERE group_index IS NOT NULL GROUP BY ALL) SELECT group_index, min(CASE WHEN contains(r, l) THEN sample_index END) AS first FROM s GROUP BY group_index")

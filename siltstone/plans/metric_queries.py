@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import shaping as H
 from siltstone.operators import metrics as M
 from siltstone.operators import ordering as O
+from siltstone.operators.cumulative import interpolated
 from siltstone.plans import views as V
 from siltstone.plans.book import Book
 from siltstone.session import table
@@ -109,10 +110,12 @@ def a24(spark, d):
     "WITH o AS (SELECT * FROM request_results QUALIFY row_number() OVER (PARTITION BY replay_round, line_number ORDER BY ingested_at) = 1) SELECT replay_round, count(*) AS n, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS n_ok, round(quantile_cont(CASE WHEN ok AND NOT isnan(latency_ms) THEN latency_ms END, 0.5), 6) AS p50, round(quantile_cont(CASE WHEN ok AND NOT isnan(latency_ms) THEN latency_ms END, 0.95), 6) AS p95, round(quantile_cont(CASE WHEN ok AND NOT isnan(latency_ms) THEN latency_ms END, 0.99), 6) AS p99 FROM o GROUP BY replay_round",
 )
 def a32(spark, d):
-    """Exact interpolated percentiles; per round, whose size is bounded by one request file."""
+    """Exact interpolated percentiles from value counts, so a round may hold any number of requests."""
     rows = table(spark, d, "request_results").dropDuplicates(["replay_round", "line_number"])
-    x = F.when(c("ok") & ~F.isnan("latency_ms"), c("latency_ms"))
-    return rows.groupBy("replay_round").agg(F.count(F.lit(1)).alias("n"), F.sum(c("ok").cast("bigint")).alias("n_ok"), *[r6(F.percentile(x, q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    counts = rows.groupBy("replay_round").agg(F.count(F.lit(1)).alias("n"), F.sum(c("ok").cast("bigint")).alias("n_ok"))
+    values = rows.where(c("ok") & c("latency_ms").isNotNull() & ~F.isnan("latency_ms")).groupBy("replay_round", "latency_ms").agg(F.count(F.lit(1)).alias("times"))
+    p = interpolated(values, ["replay_round"], "latency_ms", "times", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return counts.join(p, "replay_round", "left").select("replay_round", "n", "n_ok", *[r6(c(x)).alias(x) for x in ("p50", "p95", "p99")])
 
 
 @book.add("A32_status_histogram", "WITH o AS (SELECT DISTINCT replay_round, line_number, status_code FROM request_results) SELECT status_code, count(*) AS n FROM o GROUP BY status_code")

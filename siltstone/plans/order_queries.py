@@ -101,8 +101,8 @@ def o17(spark, d):
     "O18_trajectory_split",
     f"{S}, {V.TURNS}, k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM t)) SELECT user_id, turn_idx, k // (n // 2) AS rank FROM t JOIN k USING (user_id) WHERE k < n // 2 * 2",
 )
-def o18(spark, d, turns=V.turns):
-    t = turns(spark, d)
+def o18(spark, d):
+    t = V.turns(spark, d)
     users = t.select("user_id").distinct().count()
     even = O.positions(t.select("user_id").distinct(), ["user_id"], "k").where(c("k") < users // 2 * 2).select("user_id")
     return O.trajectory_split(t.join(even, "user_id", "left_semi"), "user_id", 2).select("user_id", "turn_idx", "rank")
@@ -245,6 +245,3 @@ def j09(spark, d):
     orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(c("o_orderkey").alias("l_orderkey"))
     lines = table(spark, d, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     return R.multiset_except(lines, orders.unionAll(orders), "l_orderkey", "o").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-book.whole("O18_trajectory_split")

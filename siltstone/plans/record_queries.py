@@ -186,13 +186,11 @@ def s23(spark, d):
 
 @book.add("S28_eval_sources", "SELECT d.dataset_name, count(i.item_id) AS n_items, count(i.item_id) * coalesce(any_value(d.n_samples_per_eval_prompt), 1) AS n_samples FROM eval_datasets d LEFT JOIN eval_items i USING (dataset_path) GROUP BY d.dataset_name")
 def s28(spark, d):
+    """Every set of the config with its items, in one join."""
     sets, items = table(spark, d, "eval_datasets"), table(spark, d, "eval_items")
-    parts = None
-    for r in sets.limit(1000).collect():
-        own = items.where(c("dataset_path") == r["dataset_path"]).agg(F.count("item_id").alias("n_items"))
-        own = own.select(F.lit(r["dataset_name"]).alias("dataset_name"), "n_items", (c("n_items") * (r["n_samples_per_eval_prompt"] or 1)).alias("n_samples"))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    sizes = items.groupBy("dataset_path").agg(F.count("item_id").alias("n_items"))
+    joined = sets.join(sizes, "dataset_path", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    return joined.select("dataset_name", "n_items", (c("n_items") * F.coalesce("n_samples_per_eval_prompt", F.lit(1))).alias("n_samples"))
 
 
 @book.add("S29_metric_sink", "SELECT CAST(1 AS BIGINT) AS step, 'loss' AS metric, 0.5::DOUBLE AS value UNION ALL SELECT 2, 'loss', 0.25 UNION ALL SELECT 2, 'kl', 0.125")
@@ -271,8 +269,8 @@ def p27(spark, d):
 
 
 @book.add("P35_turn_log", f"{S}, {V.TURNS} SELECT user_id, turn_idx, reward, response_length, CASE WHEN removed THEN 'abort' ELSE 'stop' END AS finish FROM t")
-def p35(spark, d, turns=V.turns):
-    return turns(spark, d).select("user_id", "turn_idx", "reward", "response_length", F.when(c("removed"), "abort").otherwise("stop").alias("finish"))
+def p35(spark, d):
+    return V.turns(spark, d).select("user_id", "turn_idx", "reward", "response_length", F.when(c("removed"), "abort").otherwise("stop").alias("finish"))
 
 
 @book.add("P36_sft_answer", "SELECT item_id, 'Answer: \\boxed{' || coalesce(item_label, '') || '}' AS content FROM eval_items")
@@ -342,6 +340,3 @@ def h13(spark, d):
 def h14(spark, d):
     convert = registry.get("convert", "siltstone.functions.shaping.training_columns")
     return convert(V.samples(spark, d).withColumn("remove_sample", F.lit(False))).select("sample_index", F.size("loss_mask").alias("n"))
-
-
-book.whole("P35_turn_log")

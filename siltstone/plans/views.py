@@ -35,20 +35,14 @@ CAST(1 + floor(value) AS BIGINT) AS response_length, CASE event_type WHEN 'error
 event_type, user_id, value, ts FROM events)"""
 
 
-def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of each user as a trajectory's turns."""
     w = Window.partitionBy("user_id").orderBy("sample_index")
     s = samples(spark, sf_dir).withColumn("turn_idx", (F.row_number().over(w) - 1).cast("bigint"))
     return s.withColumns({"removed": F.col("event_type") == "error", "speedup": F.col("value") / 100.0})
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four events of each user as a trajectory's turns."""
-    return trajectories(spark, sf_dir).where("turn_idx < 4")
-
-
-TURNS = """t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sample_index) - 1 AS turn_idx, event_type = 'error' AS removed, value / 100.0 AS speedup FROM s) WHERE turn_idx < 4)"""
-TRAJECTORIES = TURNS.replace(" WHERE turn_idx < 4)", ")")
+TURNS = """t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sample_index) - 1 AS turn_idx, event_type = 'error' AS removed, value / 100.0 AS speedup FROM s)"""
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import answers as A
 from siltstone.functions import masks as K
+from siltstone.functions import shaping as H
 from siltstone.functions import text as X
 from siltstone.functions import tokens as T
 from siltstone.operators import balance as B
@@ -202,6 +203,8 @@ def test_answers():
     assert A.plain_math("\\frac12") == "\\frac{1}{2}" and A.plain_math("0.5") == "\\frac{1}{2}" and A.plain_math("3/4") == "\\frac{3}{4}"
     assert A.plain_math("x=5") == "5" and A.plain_math("\\sqrt3") == "\\sqrt{3}" and A.plain_math("10\\text{ cm}") == "10"
     assert A.loose_equal("1,000", "1000") and A.loose_equal("5 cm", "5") and not A.loose_equal("5", "5.5")
+    assert not A.loose_equal("4/2", "2") and not A.loose_equal("2", "4/2") and not A.loose_equal("9^9^9", "x^9^9")
+    assert A.boxed_content("\\fbox{3}") is None and A.boxed_content("\\boxed{2} and \\fbox{3}") == "2" and A.boxed_content("\\boxed{2} \\boxed 3") is None
     assert not A.loose_equal("1/2", "2/4") and A.loose_equal("(1,2)", "(1, 2)") and not A.loose_equal("(1,2)", "[1,2]")
     assert A.math_grade("so \\boxed{42}", "42") and not A.math_grade("so 42", "42")
     assert A.reasoned_reward("<think>x</think> \\boxed{3}", "3") == 1.0 and A.reasoned_reward("\\boxed{3}", "3") == 0.0
@@ -288,14 +291,14 @@ def test_whole_trajectories_have_all_events(spark, tmp_path):
     rows = [(i, 1 if i % 5 else 2, kinds[i % 3], float(i)) for i in range(40)]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.lit("2031-01-01").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
-    for name in (n for n in catalog.QUERIES if n.endswith("_whole") and n[:3] not in ("A15", "A16", "C01", "F05", "G01", "J14")):
+    for name in ("A05_turn_reward_norm", "F16_finalise_positive", "O18_trajectory_split", "P35_turn_log", "W03_multi_turn_fold", "W04_finalise_improve", "W07_prefix_best"):
         assert run(name).count() == 40, name
-    fold = {(x["user_id"], x["turn_idx"]): x["multi_turn_reward"] for x in run("W03_multi_turn_fold_whole").collect()}
+    fold = {(x["user_id"], x["turn_idx"]): x["multi_turn_reward"] for x in run("W03_multi_turn_fold").collect()}
     reward = [0.0 if k == "error" else 1.0 if k == "purchase" else 0.5 for _, u, k, _ in rows if u == 1]
     assert len(reward) == 32 and abs(fold[1, 0] - sum(r * 0.5**t for t, r in enumerate(reward))) < 1e-6
-    assert run("A15_turn_metrics_whole").count() == 32
-    assert sum(x["n"] for x in run("G01_regroup_by_turn_whole").collect()) == 40
-    spine = run("J14_turn_spine_whole").collect()
+    assert run("A15_turn_metrics").count() == 32
+    assert sum(x["n"] for x in run("G01_regroup_by_turn").collect()) == 40
+    spine = run("J14_turn_spine").collect()
     assert len(spine) == 64 and sum(not x["is_pad_turn"] for x in spine) == 40
 
 
@@ -319,10 +322,66 @@ def test_scorer_dispatch_reads_each_samples_type(spark, tmp_path):
         return float({"math": A.math_grade, "deepscaler": A.reasoned_reward, "f1": A.bag_f1, "gpqa": A.choice_score}[k](r, t))
 
     want = {i: (k.strip(), by_hand(k, r, t)) for i, k, r, t in rows}
-    got = {x["sample_index"]: (x["rm_type"], x["score"]) for x in catalog.QUERIES["C01_scorer_dispatch_whole"](spark, str(tmp_path)).collect()}
+    got = {x["sample_index"]: (x["rm_type"], x["score"]) for x in catalog.QUERIES["C01_scorer_dispatch"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {s for k, s in want.values() if k == "dapo"} == {1.0, -1.0} and len({s for k, s in want.values() if k == "f1"}) > 2
     (tmp_path / "none").mkdir()
     df.limit(1).withColumn("metadata", F.lit("{}")).write.parquet(str(tmp_path / "none" / "samples.parquet"))
     with pytest.raises(Exception, match="unknown reward type"):
-        catalog.QUERIES["C01_scorer_dispatch_whole"](spark, str(tmp_path / "none")).collect()
+        catalog.QUERIES["C01_scorer_dispatch"](spark, str(tmp_path / "none")).collect()
+
+
+def test_periodic_needs_an_interval(spark):
+    df = spark.range(3).select(H.periodic(F.col("id"), None, 1, 3).alias("a"), H.periodic(F.col("id"), 2, None, 3).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [(False, False), (False, True), (False, True)]
+
+
+def test_overlapping_and_nested_items_are_all_found(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh tail"), (2, "cdef"), (3, None), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("abcdef",), ("cdefgh",), ("cdef",), ("",), (None,), ("zz",)], "item string")
+    got = {r["item"]: r["n"] for r in R.containment_counts(docs, items, "text", "item").collect()}
+    assert got == {"abcdef": 1, "cdefgh": 1, "cdef": 2, "": 3}
+
+
+def test_suffix_sums_grow_in_proportion(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    rows = [[rng.random() for _ in range(n)] for n in (0, 1, 7, 300)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)] + [(9, None)], "id int, x array<double>")
+    got = {r["id"]: r["y"] for r in df.select("id", T.decayed_suffix_sums(F.col("x"), 0.97).alias("y")).collect()}
+    assert got[9] is None
+    for i, r in enumerate(rows):
+        want, last = [], 0.0
+        for v in reversed(r):
+            last = v + 0.97 * last
+            want.insert(0, last)
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    spent = []
+    for n in (16_384, 131_072):
+        long = spark.range(4).select(T.gae(F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(0.5), n), 0.99, 0.95)[0].alias("a"))
+        began = time.perf_counter()
+        long.write.format("noop").mode("overwrite").save()
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 20 * spent[0] + 5
+
+
+def test_running_maximum_over_blocks_and_busy_intervals(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, float(a := rng.randrange(1000)), a + rng.choice((0.0, 1.0, 5.0, 90.0))) for k in ("hot",) * 300 + ("b", None) for _ in (0,)]
+    df = spark.createDataFrame(rows, "k string, start double, end double").repartition(4)
+    got = sorted((r["k"] or "", r["start"], r["end"], r["n_spans"]) for r in S.busy_intervals(df, ["k"], "start", "end").collect())
+    want = []
+    for k in ("hot", "b", None):
+        merged = []
+        for _, a, b in sorted(x for x in rows if x[0] == k):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(merged[-1][1], b), merged[-1][2] + 1]
+            else:
+                merged.append([a, b, 1])
+        want += [(k or "", *m) for m in merged]
+    assert got == sorted(want)
+    assert S.busy_intervals(df.limit(0), ["k"], "start", "end").count() == 0
