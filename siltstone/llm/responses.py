@@ -7,7 +7,7 @@ Local checks run row by row in Arrow batches: ``empty``, ``copied_question`` (bi
    ones. Openings near each other are linked by MinHash bands over shingles of five words, verified at a Jaccard similarity of 0.8; linked
    openings are one template.
 2. A template is told by how it recurs: over at least ``RECURS`` distinct prompts (counted exactly; prompts that differ in digits only are
-   one) that aren't related (by MinHash sketches of the prompts, less than ``RELATED`` of them share a shingle), without the prompt's own
+   one) that aren't related (by bottom sketches of the prompts, less than ``RELATED`` of them share a shingle), without the prompt's own
    words, without a number that varies, and standing alone in at least ``ALONE`` of its replies: nothing follows, or only what itself recurs
    word for word over ``RECURS`` prompts. No answer to unrelated prompts reads like that.
 3. Wording is only the check that follows: a template that neither denies nor speaks of speaker or request (``DENIES``, ``SPEAKS``) is none.
@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nsmallest
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +47,7 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 4
 RECURS, OWN_WORDS, RELATED, ALONE = 3, 0.5, 0.7, 0.8
 LEAST_WORDS, SKETCH = 3, 8
 BLOCK = 1024
+APART = re.compile(r"(?<=[぀-ヿ㐀-鿿]) | (?=[぀-ヿ㐀-鿿])")
 MASK = "·"
 THINK = "(?:think|thinking|thought|reasoning)"
 CLOSED_THINK = re.compile(rf"(?s)<{THINK}>.*?</{THINK}>")
@@ -77,7 +79,7 @@ COURTESY = re.compile(
 )
 # The words by which a recurring opening is checked: a negation or an apology, or who or what it is about.
 DENIES = re.compile(
-    r"\b(?:no|not|never|cannot|unable|refuse|refrain|decline|sorry|apologi[sz]e|regret|unfortunately|off[- ]limits|forbidden|prohibited)\b|n['’]t\b|"
+    r"\b(?:[a-z]+n t|can t)\b|\b(?:no|not|never|cannot|unable|refuse|refrain|decline|sorry|apologi[sz]e|regret|unfortunately|off[- ]limits|forbidden|prohibited)\b|n['’]t\b|"
     r"\b(?:nunca|jamás|lamento|siento|ne|pas|jamais|refuse|désolée?|regrette|nicht|keine?n?|nie|leider|não|nunca|non|mai|spiacente|purtroppo)\b|\b(?:не|нет|нельзя|никогда|увы|сожалени\w*)\b|"
     r"不|无法|未能|拒|歉|恕|ません|ない|かねま|できず|않|못|없|죄송|لا|لن|آسف"
 )
@@ -101,6 +103,7 @@ ASKS = {
     )
     for k, v in ASKED.items()
 }
+NAMES_LANGUAGE = re.compile("|".join(ASKED.values()), re.I)
 ASK_CUE = re.compile(r"translat|reply|respond|answer|write|version|summar|say|用|译|回答|responde|contest|traduc|tradu|répond|antwort|übersetz|schreib|ответ|перев|напиш|答え|訳", re.I)
 
 
@@ -168,6 +171,13 @@ def asked_kinds(text: str) -> frozenset[str]:
     return frozenset(asked_units(text)) - ARTICLES
 
 
+@lru_cache(maxsize=4096)
+def least_size(text: str) -> int:
+    """Characters that four fifths of a prompt's words take at least (articles aside): a shorter reply in ASCII can't be a copy."""
+    sizes = sorted(len(w) for w in asked_units(text) if w not in ARTICLES)
+    return sum(sizes[: math.ceil(0.8 * len(sizes) - 1e-9)])
+
+
 def gives_back(text: str, reply: list[str], kinds: set[str]) -> bool:
     """The reply copies ``text``. What lacks more than a fifth of its words can't be a copy in any form, so that is looked at first."""
     prompt = asked_units(text)
@@ -261,6 +271,8 @@ def is_truncated(reply: str) -> bool:
 @lru_cache(maxsize=4096)
 def asked_language(prompt: str) -> str | None:
     """The language that the prompt asks for, if it asks for one: a sentence names it within 160 characters of a word that asks."""
+    if not NAMES_LANGUAGE.search(prompt):
+        return None
     for line in SENTENCE.split(prompt):
         if ASK_CUE.search(line):
             for lang, pattern in ASKS.items():
@@ -315,7 +327,7 @@ def local_defect(prompt: str | None, response: str | None) -> tuple[str | None,
     if is_empty(reply):
         return "empty", ""
     asked = user_text(prompt) if prompt else ""
-    if asked:
+    if asked and not (reply.isascii() and len(reply) < min(least_size(asked), least_size(contents(prompt or "")))):
         said = copy_units(reply)
         kinds = set(said)
         if gives_back(asked, said, kinds) or (prompt is not None and asked != prompt and gives_back(contents(prompt), said, kinds)):
@@ -342,18 +354,10 @@ def shingles(words: list[str]) -> set[int]:
     return {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
-def signature(found: set[int], size: int) -> np.ndarray:
-    """MinHash values."""
-    s = np.fromiter(found, np.uint64, len(found))
-    with np.errstate(over="ignore"):
-        h = (s[:, None] * (_SALT[0, :size] | np.uint64(1)) + _SALT[1, :size]) ^ (s[:, None] >> np.uint64(7))
-        return (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
-
-
 @lru_cache(maxsize=4096)
 def sketch(prompt: str) -> list[int]:
-    """By how many places two prompts' sketches agree tells how many of their shingles they share."""
-    return (signature(shingles(asked_units(user_text(prompt))), SKETCH) >> np.uint64(33)).astype(np.int32).tolist()
+    """The least hashes of the prompt's shingles; prompts that share many shingles share some of these."""
+    return nsmallest(SKETCH, shingles(asked_units(user_text(prompt))))
 
 
 @lru_cache(maxsize=4096)
@@ -365,7 +369,6 @@ GRAMMAR = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 
 
 class Opening(NamedTuple):
-    text: str  # as it stands, in lower case
     form: str  # its words, numbers as 0
     masked: str | None  # the same with the prompt's own words as one mark, if there are any
     numbers: int  # key of its numbers
@@ -387,7 +390,7 @@ def opening_of(prompt: str, sentence: str) -> Opening | None:
         else:
             masked.append(w)
     numbers = NUMBER.findall(text)
-    return Opening(text, " ".join(found), " ".join(masked) if MASK in masked else None, key_of(" ".join(numbers)) if numbers else 0, sum(w in asked for w in found) / len(found))
+    return Opening(" ".join(found), " ".join(masked) if MASK in masked else None, key_of(" ".join(numbers)) if numbers else 0, sum(w in asked for w in found) / len(found))
 
 
 def in_two(reply: str) -> tuple[str, str]:
@@ -405,9 +408,9 @@ def is_polite(rest: str) -> bool:
     return all(COURTESY.search(s) or (DENIES.search(s) and SPEAKS.search(s)) for x in SENTENCE.split(rest.lower()) if (s := x.strip()))
 
 
-SCHEMA = "sample_index bigint, prompt_key bigint, defect string, opening string, form string, masked string, numbers bigint, own double, rest bigint, rest_form bigint, polite boolean, sketch array<int>"
+SCHEMA = "sample_index bigint, prompt_key bigint, defect string, form string, masked string, numbers bigint, own double, rest bigint, rest_form bigint, polite boolean, sketch array<bigint>"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
 
 def _row(key: int | None, prompt: str, defect: str | None, reply: str) -> tuple | None:
@@ -415,7 +418,7 @@ def _row(key: int | None, prompt: str, defect: str | None, reply: str) -> tuple
     first, rest = in_two(reply) if reply else ("", "")
     said = opening_of(prompt, first) if first else None
     if said is None:
-        return (key, None, defect, *[None] * 9) if defect else None
+        return (key, None, defect, *[None] * 8) if defect else None
     if not rest:
         ends: tuple = (0, 0, True)
     elif "```" in rest or "~~~" in rest or "\\boxed" in rest or "$" in rest:
@@ -440,7 +443,10 @@ def bands(form: str) -> list[int]:
     s = shingles(form.split(" "))
     if len(s) < SIMILAR / (1 - SIMILAR) - 1e-9:  # of so few shingles, one that differs is too many
         return []
-    low = signature(s, BANDS * ROWS).reshape(BANDS, ROWS)
+    x = np.fromiter(s, np.uint64, len(s))
+    with np.errstate(over="ignore"):
+        h = (x[:, None] * (_SALT[0] | np.uint64(1)) + _SALT[1]) ^ (x[:, None] >> np.uint64(7))
+        low = (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0).reshape(BANDS, ROWS)
     return [zlib.crc32(low[i].tobytes()) << 5 | i for i in range(BANDS)]
 
 
@@ -452,6 +458,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bands(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "text", "bands"])
 
 
+def _forms(local: DataFrame) -> DataFrame:
+    """The rows once per form of their opening, with its ``id``."""
+    return local.where("form IS NOT NULL").withColumn("form", F.explode(F.array_compact(F.array("form", "masked")))).withColumn("id", F.xxhash64("form"))
+
+
 def near_pairs(texts: list[str], own: list[int], crossing: bool) -> list[tuple[int, int]]:
     """Pairs that join all texts of a Jaccard similarity of ``SIMILAR`` or more; ``crossing``: only texts of different blocks are compared.
 
@@ -530,9 +541,10 @@ def clusters(signed: DataFrame) -> DataFrame:
 
 
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The clusters of openings that deny, or speak of speaker or request."""
+    """The openings that deny, or speak of speaker or request."""
     for b in batches:
-        keep = [c for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if DENIES.search(t) or SPEAKS.search(t)]
+        texts = [APART.sub("", t) for t in b.column(1).to_pylist()]
+        keep = [c for c, t in zip(b.column(0).to_pylist(), texts) if DENIES.search(t) or SPEAKS.search(t)]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["cluster"])
 
 
@@ -549,35 +561,31 @@ def templates(local: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = whole.where("rest_form <> 0").groupBy("rest_form", "prompt_key").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
     ends = ends.groupBy("rest_form").agg(F.count(F.lit(1)).alias("prompts"), F.min("low").alias("low"), F.max("high").alias("high"))
     closing = materialize(ends.where((F.col("prompts") >= RECURS) & (F.col("low") == F.col("high"))).select("rest_form"), "closing")
-    forms = whole.withColumn("form", F.explode(F.array_compact(F.array("form", "masked")))).withColumn("id", F.xxhash64("form"))
-    uses = forms.groupBy("id", "prompt_key", "rest_form").agg(
-        *[F.min(c).alias(c) for c in ("form", "opening", "sketch")], F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("polite"), 1)).alias("polite"),
-        F.sum("own").alias("own"), F.min("numbers").alias("low"), F.max("numbers").alias("high"),
+    uses = _forms(whole).groupBy("id", "prompt_key", "rest_form").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("polite"), 1)).alias("polite"), F.sum("own").alias("own"), F.min("numbers").alias("low"), F.max("numbers").alias("high")
     )
-    uses = materialize(uses, "uses")
-    signed = materialize(uses.groupBy("id").agg(F.min("form").alias("text")).mapInArrow(_sign, SIGNED), "signed")
+    signed = materialize(_forms(whole).select("id", F.col("form").alias("text")).distinct().mapInArrow(_sign, SIGNED), "signed")
     near = clusters(signed)
-    named = uses.join(near, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    in_cluster = lambda rows: rows.join(near, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     alone = F.when(F.col("closes") | (F.col("rest_form") == 0), F.col("n")).otherwise(F.col("polite"))
-    seen = _closed(named, closing).groupBy("cluster", "prompt_key").agg(
-        F.sum("n").alias("n"), F.sum(alone).alias("alone"), F.sum("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("opening").alias("opening")
-    )
-    told = seen.groupBy("cluster").agg(F.count(F.lit(1)).alias("prompts"), *[F.sum(c).alias(c) for c in ("n", "alone", "own")], F.min("low").alias("low"), F.max("high").alias("high"), F.min("opening").alias("opening"))
+    seen = _closed(in_cluster(uses), closing).groupBy("cluster", "prompt_key").agg(F.sum("n").alias("n"), F.sum(alone).alias("alone"), F.sum("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high"))
+    told = seen.groupBy("cluster").agg(F.count(F.lit(1)).alias("prompts"), *[F.sum(c).alias(c) for c in ("n", "alone", "own")], F.min("low").alias("low"), F.max("high").alias("high"))
     recurs = (F.col("prompts") >= RECURS) & (F.col("own") < OWN_WORDS * F.col("n")) & (F.col("alone") >= ALONE * F.col("n")) & (F.col("low") == F.col("high"))
-    recurring = told.where(recurs).select("cluster", "opening").mapInArrow(_reads, "cluster bigint")
-    asked = named.join(recurring, "cluster").groupBy("cluster", "prompt_key").agg(F.min("sketch").alias("sketch"))
-    shared = asked.select("cluster", F.posexplode("sketch").alias("place", "value")).groupBy("cluster", "place", "value").agg(F.count(F.lit(1)).alias("n"))
-    most = shared.groupBy("cluster", "place").agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy("cluster").agg((F.sum("most") / F.sum("n")).alias("related"))
-    declining = materialize(most.where(F.col("related") < RELATED).join(named, "cluster").select("id").distinct(), "declining")
-    discard(local.sparkSession, uses, signed, near)
+    recurring = told.where(recurs).select("cluster", "prompts")
+    named = recurring.join(signed.select(F.col("id").alias("cluster"), "text"), "cluster")  # a cluster bears the id of one of its forms
+    recurring = materialize(recurring.join(named.select("cluster", "text").mapInArrow(_reads, "cluster bigint"), "cluster", "left_semi"), "recurring")
+    members = materialize(in_cluster(signed.select("id")).join(recurring, "cluster"), "members")
+    asked = _forms(whole).join(members, "id").select("cluster", "prompts", "prompt_key", F.explode("sketch").alias("value")).distinct()
+    shared = asked.groupBy("cluster", "prompts", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg((F.max("n") / F.max("prompts")).alias("related"))
+    declining = materialize(members.join(shared.where(F.col("related") < RELATED), "cluster").select("id"), "declining")
+    discard(local.sparkSession, signed, near, recurring, members)
     return declining, closing
 
 
 def refusals(local: DataFrame) -> DataFrame:
     """sample_index of the replies that only decline."""
     declining, closing = templates(local)
-    forms = local.where("form IS NOT NULL").select("sample_index", "rest_form", "polite", F.explode(F.array_compact(F.array("form", "masked"))).alias("form"))
-    declined = forms.withColumn("id", F.xxhash64("form")).join(declining, "id", "left_semi")
+    declined = _forms(local).select("sample_index", "rest_form", "polite", "id").join(declining, "id", "left_semi")
     return _closed(declined, closing).where("polite OR closes").select("sample_index")
 
 
