@@ -3,8 +3,9 @@
 A record leaks an item if it holds ``exact`` words in a row of the item's statement, or a stretch of at least ``stretch`` of its words of
 which no more than one in ``per_edit`` is replaced, left out or has one added. (For scripts without word spaces the unit is the character,
 ``exact_chars`` in a row or a stretch of ``stretch_chars``.) A stretch of ``n`` units allows ``k = n // per_edit`` edits, so of its
-``k + 1`` pieces one is untouched; with the defaults that piece has at least five units, whatever the stretch and wherever it starts. The
-pieces of all stretches of an item are therefore its runs of five units. One pass of an Aho-Corasick automaton over the normalised record
+``k + 1`` pieces one is untouched; that piece has at least
+``piece_length`` units (five with the defaults), whatever the stretch and wherever it starts. The pieces of all stretches of an item are
+therefore its runs of that many units. One pass of an Aho-Corasick automaton over the normalised record
 finds every exact piece hit; a hit is extended to its full exact run, and where that is too short, bounded by the common words and then
 decided by Myers' bit-parallel edit distance of the item's stretches against the text around the hit.
 
@@ -29,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 5
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 WORDS = re.compile(r"[^\W_]+")
@@ -89,6 +89,14 @@ def myers(pattern: list[str], text: list[str], rows: list[int]) -> dict[int, int
     return best
 
 
+def piece_length(stretch: int, per_edit: int, exact: int) -> int:
+    """Units that the untouched piece of any stretch has at least: ``n`` units with ``n // per_edit`` edits fall into one piece more than edits.
+
+    The least is at the first stretches: from one multiple of ``per_edit`` to the next it only grows.
+    """
+    return max(1, min(exact, *(n // (n // per_edit + 1) for n in range(stretch, stretch + per_edit + 1))))
+
+
 class Matcher:
     """All statements of one unit (words, or characters) and the automaton of their pieces."""
 
@@ -96,14 +104,15 @@ class Matcher:
         import ahocorasick
 
         self.sep, self.exact, self.stretch, self.per_edit = sep, exact, stretch, per_edit
+        self.piece = piece_length(stretch, per_edit, exact)
         self.units = {i: u for i, u in statements if len(u) >= min(exact, stretch)}
         self.bags = {i: Counter(u) for i, u in self.units.items()}
         self.where: list[list[tuple[int, int]]] = []
         self.automaton = ahocorasick.Automaton()
         known: dict[str, int] = {}
         for i, u in self.units.items():
-            for j in range(len(u) - PIECE + 1):
-                piece = sep + sep.join(u[j : j + PIECE]) + sep
+            for j in range(len(u) - self.piece + 1):
+                piece = sep + sep.join(u[j : j + self.piece]) + sep
                 if piece not in known:
                     known[piece] = len(self.where)
                     self.where.append([])
@@ -127,9 +136,9 @@ class Matcher:
             for end, piece in hits:
                 number += line.count(sep, last, end)
                 last = end
-                places.append((number - PIECE, piece))
+                places.append((number - self.piece, piece))
         else:
-            places = [(end - PIECE + 1, piece) for end, piece in hits]
+            places = [(end - self.piece + 1, piece) for end, piece in hits]
         by: dict[int, list[tuple[int, int]]] = {}
         for q, piece in places:
             for i, j in self.where[piece]:
@@ -139,12 +148,12 @@ class Matcher:
     def leaks(self, i: int, seeds: list[tuple[int, int]], units: list[str]) -> bool:
         item = self.units[i]
         n = len(item)
-        run, diag = PIECE, {}
+        run, diag = self.piece, {}
         for q, j in seeds:  # consecutive seeds of one diagonal are one exact run
             d = q - j
             start, end = diag.get(d, (q, q))
             diag[d] = (start, q) if q <= end + 1 else (q, q)
-            run = max(run, q - diag[d][0] + PIECE)
+            run = max(run, q - diag[d][0] + self.piece)
         if run >= self.exact:
             return True
         if n < self.stretch:

@@ -68,3 +68,15 @@ def test_records(spark):
     assert got == [("d", 1, 1), ("d", 7, 3), ("s", 6, 2)]
     assert sorted(tuple(x) for x in L.leaks(df, items, block_items=1).collect()) == got
     assert L.leaks(df.limit(0), items).count() == 0 and L.leaks(df, items.limit(0)).count() == 0
+
+
+def test_pieces_follow_the_error_budget():
+    from siltstone.llm.leakage import Matcher, piece_length
+
+    assert piece_length(28, 6, 12) == 5 and piece_length(28, 3, 12) == 2
+    for stretch, per_edit in ((28, 6), (28, 3), (20, 4), (7, 7), (10, 2)):
+        assert piece_length(stretch, per_edit, 99) == min(n // (n // per_edit + 1) for n in range(stretch, 2000))
+    item = [f"w{i}" for i in range(28)]
+    broken = [f"x{i}" if i % 3 == 2 and i < 27 else w for i, w in enumerate(item)]  # nine edits where nine are allowed
+    assert Matcher([(1, item)], " ", 12, 28, 3).found(broken) == [1]
+    assert Matcher([(1, item)], " ", 12, 28, 6).found(broken) == []
