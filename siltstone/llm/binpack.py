@@ -1,11 +1,12 @@
 """Bin completion: fill fixed-capacity containers around the largest remaining item, by branch and bound.
 
-At each node the largest item opens a container and up to ``WIDTH`` completions are enumerated by growing waste, after a greedy head: a
-single item, an exact pair or an exact triple (its first item one of ``FIRST`` sizes) for each level, not every undominated set. Dominated
-completions are skipped: a smaller single item is dominated by the largest that fits, and a set is only tried if it wastes less than every
-smaller set found before it. So a search that runs out of branches doesn't prove its result the best. A branch is cut when the waste so far already rules out beating the incumbent, and the search ends when the incumbent meets the lower
-bound ``ceil(total / capacity)`` or the node budget is spent. Best fit on decreasing sizes gives the first incumbent, so every result is
-whole and valid whatever the budget.
+At each node the largest item opens a container, and its fillings are tried one after the other: first the ``WIDTH`` likeliest (a greedy head,
+then a single item, an exact pair or an exact triple for each level of waste), then every undominated one, lazily. A filling is dominated, and
+skipped, if an item that is left fits into its gap, or fits in the place of a smaller one of its items. A branch is cut when the waste so far
+rules out beating the incumbent, and fillings that would waste more than that are not built. The search ends when the incumbent meets the
+lower bound (total size, or Martello and Toth's over all thresholds), when every branch is done, which proves the result the best, or when
+``nodes`` steps are spent; ``nodes=None`` sets no limit, so the result is exact. Best fit on decreasing sizes gives the first incumbent, so
+every result is whole and valid whatever the limit.
 
 The sizes still available are the bits of one integer, so the best single item and the best pair for a gap are a few word operations.
 """
@@ -13,10 +14,13 @@ The sizes still available are the bits of one integer, so the best single item a
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 NODES = 1000
+DONE: tuple = ("done",)
 WIDTH = 2
 FIRST = 12
 
@@ -137,7 +141,41 @@ class _Search:
         return found or [tuple(head)]
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    def fillings(self, first: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+        """All undominated fillings around ``first`` that waste at most ``waste``, taking large items first; None is a step without one."""
+        gap = self.capacity - first
+        count = {s: n - (s == first) for s, n in self.count.items() if n > (s == first) and s <= gap}
+        sizes = sorted(count, reverse=True)
+        below = [0]  # what the items from a place on hold
+        for s in reversed(sizes):
+            below.append(below[-1] + s * count[s])
+        below.reverse()
+        negative = [-s for s in sizes]
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, gap, ())]
+        while stack:
+            i, left, chosen = stack.pop()
+            i = max(i, bisect_left(negative, -left))
+            while i < len(sizes) and chosen and chosen[-1] == sizes[i] and chosen.count(sizes[i]) == count[sizes[i]]:
+                i += 1
+            if left - below[i] > waste:
+                yield None
+            elif i == len(sizes):
+                yield None if self._dominated(chosen, left, count, sizes, negative) else chosen
+            else:
+                stack.append((i + 1, left, chosen))
+                stack.append((i, left - sizes[i], (*chosen, sizes[i])))
+                yield None
+
+    @staticmethod
+    def _dominated(chosen: tuple[int, ...], left: int, count: dict[int, int], sizes: list[int], negative: list[int]) -> bool:
+        for s in (0, *set(chosen)):  # an item left that fits the gap, or the place of a smaller one with it
+            for x in sizes[bisect_left(negative, -(s + left)) : bisect_left(negative, -s)]:
+                if chosen.count(x) < count[x]:
+                    return True
+        return False
+
+
+def complete(sizes: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
     """Sizes by container, by bin completion; ``sizes`` are between 1 and ``capacity``."""
     total = sum(sizes)
     bound = lower_bound(sizes, capacity)
@@ -146,7 +184,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
         return best
     search = _Search(sizes, capacity)
     trail: list[tuple[int, tuple[int, ...]]] = []
-    options: list[list[tuple[int, ...]]] = []
+    options: list[Iterator[tuple[int, ...] | None]] = []
     waste, left, spent = 0, len(sizes), 0
 
     def undo() -> None:
@@ -166,21 +204,25 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
         if left and waste <= slack and len(trail) < len(best) - 1:
             first = search.have.bit_length() - 1
             search.take(first)
-            options.append(search.completions(capacity - first, WIDTH)[::-1])
+            likely = search.completions(capacity - first, WIDTH)
             search.put(first)
+            options.append(chain(likely, search.fillings(first, slack - waste)))
         else:
             if not trail:
                 return best
             undo()
-        while options and not options[-1]:
-            options.pop()
-            if not trail:
+        rest = None
+        while rest is None:
+            spent += 1
+            if nodes is not None and spent > nodes + len(best):
                 return best
-            undo()
-        spent += 1
-        if not options or spent > nodes + len(best):
-            return best
-        rest = options[-1].pop()
+            rest = next(options[-1], DONE)
+            if rest is DONE:
+                options.pop()
+                if not trail:
+                    return best
+                undo()
+                rest = None
         first = search.have.bit_length() - 1
         for s in (first, *rest):
             search.take(s)
@@ -189,7 +231,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
         waste += capacity - first - sum(rest)
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
     """Positions of ``sizes`` by container."""
     at: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):

@@ -31,7 +31,7 @@ MAX_SPECS = 1000
 class _Packer:
     """Blocks of one capacity within one partition."""
 
-    def __init__(self, spec: str, capacity: int, label: str, block: int, nodes: int, last: bool):
+    def __init__(self, spec: str, capacity: int, label: str, block: int, nodes: int | None, last: bool):
         self.spec, self.capacity, self.label, self.block, self.nodes, self.last = spec, capacity, label, block, nodes, last
         self.items: list[tuple[int, int, int]] = []  # tokens, document, start
         self.made = 0
@@ -82,7 +82,7 @@ def pack_documents(
     text: str | Column = "text",
     vocabulary: str = VOCABULARY,
     block: int = 4096,
-    nodes: int = NODES,
+    nodes: int | None = NODES,
 ) -> DataFrame:
     """(spec_name, container_id, doc_id, start_token, n_tokens): where every document goes, for each row of ``specs``."""
     wanted = [(r[0], int(r[1])) for r in specs.select("spec_name", "capacity_tokens").distinct().limit(MAX_SPECS + 1).collect()]

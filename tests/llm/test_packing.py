@@ -48,6 +48,37 @@ def test_against_brute_force():
         assert len(B.complete(sizes, capacity, nodes=5000)) <= optimum(sorted(sizes, reverse=True), capacity) + 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(6, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=1, max_size=10))))
+def test_without_a_limit_the_result_is_the_best(case):
+    capacity, sizes = case
+    assert len(B.complete(sizes, capacity, nodes=None)) == optimum(sorted(sizes, reverse=True), capacity)
+
+
+def test_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    sizes = [19, 11, 9, 8, 8, 6, 5, 3, 2]
+    search = B._Search(sizes, 30)
+    got = [f for f in search.fillings(19, 30) if f is not None]
+    gap, rest = 11, sizes[1:]
+    every = {tuple(sorted(c, reverse=True)) for k in range(len(rest) + 1) for c in combinations(rest, k) if sum(c) <= gap}
+
+    def dominated(f):
+        left, unused = gap - sum(f), list(rest)
+        for x in f:
+            unused.remove(x)
+        return any(s < x <= s + left for s in (0, *f) for x in unused)
+
+    assert sorted(got) == sorted(f for f in every if not dominated(f))
+    assert all(sum(f) >= gap - 1 for f in search.fillings(19, 1) if f is not None)
+
+
+def test_a_filling_of_four_is_found():
+    sizes = [60, 55, 17, 13, 7, 3, 19, 15, 8, 3]  # 60 + (17 + 13 + 7 + 3) and 55 + (19 + 15 + 8 + 3)
+    assert len(B.complete(sizes, 100, nodes=None)) == 2
+
+
 def test_documents(spark):
     count = counter(VOCABULARY)
     texts = [None, "", "word " * 3, "many words here " * 40, "x", "y z"] + [f"text number {i} " * (i % 17) for i in range(300)]
