@@ -25,16 +25,18 @@ GENERATION = "<|im_start|>assistant\n"
 
 def by_message(messages: list[Message], tokenize: Tokenizer = characters, tools: list | None = None) -> tuple[list[int], list[int]]:
     """Tokens and mask, message by message: an assistant's tokens after its header count unless its ``step_loss_mask`` isn't 1."""
-    ids: list[int] = []
+    return _joined(messages, [tokenize(render([m], tools if i == 0 else None)) for i, m in enumerate(messages)], tokenize, tools)
+
+
+def _joined(messages: list[Message], parts: list[list[int]], tokenize: Tokenizer, tools: list | None) -> tuple[list[int], list[int]]:
+    """The messages' tokens one after the other, and their mask."""
+    head, front = len(tokenize(GENERATION)), len(tokenize(render([], tools))) if tools else 0
     mask: list[int] = []
-    head = len(tokenize(GENERATION))
-    for i, m in enumerate(messages):
-        own = tokenize(render([m], tools if i == 0 else None))
+    for i, (m, own) in enumerate(zip(messages, parts)):
         learn = m["role"] == "assistant" and m.get("step_loss_mask", 1) == 1
-        skip = head + (len(tokenize(render([], tools))) if i == 0 and tools else 0)
-        ids += own
-        mask += [0] * min(skip, len(own)) + [1] * max(0, len(own) - skip) if learn else [0] * len(own)
-    return ids, mask
+        skip = min(head + (front if i == 0 else 0), len(own)) if learn else len(own)
+        mask += [0] * skip + [1] * (len(own) - skip)
+    return [t for own in parts for t in own], mask
 
 
 def by_offsets(messages: list[Message], tokenize_with_offsets: Callable[[str], list[tuple[int, int, int]]], think_prefix: str = "<think>\n\n</think>\n\n") -> tuple[list[int], list[int]]:
@@ -103,17 +105,16 @@ def by_prefixed_message(messages: list[Message], tokenize: Tokenizer = character
     """As ``by_message`` for templates that depend on neighbours: each message is rendered behind a probe turn, whose tokens are cut off."""
     probe = {"role": "user", "content": "PROBE TEXT"}
     head = len(tokenize(render([probe])))
-    ids: list[int] = []
-    mask: list[int] = []
-    for i, m in enumerate(messages):
-        own = tokenize(render([m, probe], tools))[:-head] if i == 0 else tokenize(render([probe, m]))[head:]
-        learn = m["role"] == "assistant" and m.get("step_loss_mask", 1) == 1
-        skip = len(tokenize(GENERATION)) + (len(tokenize(render([], tools))) if i == 0 and tools else 0)
-        ids += own
-        mask += [0] * min(skip, len(own)) + [1] * max(0, len(own) - skip) if learn else [0] * len(own)
-    return ids, mask
+    parts = [tokenize(render([m, probe], tools))[:-head] if i == 0 else tokenize(render([probe, m]))[head:] for i, m in enumerate(messages)]
+    return _joined(messages, parts, tokenize, tools)
+
+
+def by_character_offsets(messages: list[Message], tokenize: Tokenizer = characters) -> tuple[list[int], list[int]]:
+    """``by_offsets`` for a tokenizer with one token per character."""
+    return by_offsets(messages, lambda text: [(t, i, i + 1) for i, t in enumerate(tokenize(text))])
 
 
+VARIANTS["by_offsets"] = by_character_offsets
 VARIANTS["by_prefixed_message"] = by_prefixed_message
 
 

@@ -49,6 +49,52 @@ def loss(batch: DataFrame, kind: str, per_token: bool = False, custom: Callable
     return batch.agg((M.sample_mean_sum(x, F.col("mask"), per_token) / F.greatest(n, F.lit(1.0))).alias("loss"))
 
 
+def policy_objective(
+    batch: DataFrame, low: float, high: float, delta: float | None = None, truncate: tuple[float, float] | None = None, reject: tuple[float, float] | None = None,
+    entropy_coef: float = 0.0, kl_coef: float = 0.0, kl_kind: str = "k3", per_token: bool = False, importance: Callable | None = None, reducer: Callable | None = None,
+) -> DataFrame:
+    """One row with the policy objective and what is reported with it, over columns old, new, base, rollout, mask, adv, entropy.
+
+    ``delta`` drops tokens of sequences that went off policy, ``truncate`` clamps the importance weights against the rollout's log-probs,
+    ``reject`` takes tokens with a weight outside its bounds out of the mask. Losses and their denominators use the mask after rejection;
+    the weights' own figures use the mask before it, or rejected tokens would vanish from them. ``importance`` (train, rollout, mask ->
+    weights, mask) and ``reducer`` (loss, mask -> aggregate) replace the rules.
+    """
+    kl = F.zip_with("old", "new", lambda o, n: o - n)
+    loss, clipped = T.policy_loss(kl, F.col("adv"), low, high)
+    times = lambda x, y: F.zip_with(x, y, lambda a, b: a * b)
+    kept, before = F.col("mask"), F.col("mask")
+    extra: dict[str, Column] = {}
+    if delta is not None:
+        on = T.off_policy_mask(F.col("old"), F.col("new"), before, F.col("adv"), delta)
+        loss = times(loss, on)
+        extra["off_policy_fraction"] = M.sample_mean_sum(F.transform(on, lambda x: 1.0 - x), before, per_token)
+    if importance is not None:
+        weight, kept = importance(F.col("old"), F.col("rollout"), before)
+        loss = times(loss, weight)
+    elif truncate is not None:
+        weight, cut = T.truncated_ratio(F.col("old"), F.col("rollout"), *truncate)
+        loss = times(loss, weight)
+        extra["truncated_fraction"] = M.sample_mean_sum(cut, before, per_token)
+    if reject is not None:
+        inside = F.zip_with("old", "rollout", lambda o, r: F.exp(o - r).between(*reject).cast("int"))
+        kept = times(kept, inside)
+        extra["rejected_fraction"] = M.sample_mean_sum(F.transform(inside, lambda x: 1.0 - x), before, per_token)
+    total = lambda x: M.sample_mean_sum(x, kept, per_token)
+    sums = {
+        "pg_loss": reducer(loss, kept) if reducer is not None else total(loss),
+        "entropy_loss": total(F.col("entropy")),
+        "pg_clipfrac": total(clipped),
+        "ppo_kl": total(kl),
+        "kl_loss": total(T.approx_kl(F.col("new"), F.col("base"), kl_kind)),
+        "logprob_abs_diff": total(F.zip_with("old", "rollout", lambda o, r: F.abs(o - r))),
+        **extra,
+    }
+    n = F.greatest(F.sum(T.mask_total(before)) if per_token else F.count(F.lit(1)).cast("double"), F.lit(1.0))
+    out = batch.agg(*[(x / n).alias(k) for k, x in sums.items()])
+    return out.withColumn("loss", F.col("pg_loss") - entropy_coef * F.col("entropy_loss") + kl_coef * F.col("kl_loss"))
+
+
 class PromptSource:
     """Prompts by shuffled epochs, with a buffer of returned groups that is served first and a cursor that can be saved."""
 

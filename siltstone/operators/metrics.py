@@ -79,3 +79,27 @@ def forward_flops(length: Column, hidden: int, layers: int, ffn: int, heads: int
     linear = 2.0 * length * hidden * (q + 2 * kv) + 2.0 * length * q * hidden + 6.0 * length * hidden * ffn
     attention = 4.0 * length * length * q / 2.0
     return layers * (linear + attention) + 2.0 * length * hidden * vocab
+
+
+def pass_rates(rows: DataFrame, dataset: str, group: str, correct: Column, ks: list[int]) -> DataFrame:
+    """(dataset, pass_at_k ...): the unbiased estimate 1 - C(n - c, k) / C(n, k), averaged over the dataset's prompt groups."""
+    per = rows.groupBy(dataset, group).agg(F.count(F.lit(1)).alias("_n"), F.sum(correct.cast("int")).alias("_c"))
+
+    def estimate(k: int) -> Column:
+        fail = F.lit(1.0)
+        for i in range(k):
+            fail = fail * (F.col("_n") - F.col("_c") - i) / (F.col("_n") - i)
+        return F.when(F.col("_n") - F.col("_c") < k, 1.0).otherwise(1.0 - fail)
+
+    return per.groupBy(dataset).agg(*[F.avg(F.when(F.col("_n") >= k, estimate(k))).alias(f"pass_at_{k}") for k in ks])
+
+
+def run_rates(rows: DataFrame, masked: Column, correct: Column, precheck: Column, times: dict[str, Column], by: list[str]) -> DataFrame:
+    """Fractions of rows masked, and masked among the correct ones; the share of prechecks passed; mean and sum of each time."""
+    checked = precheck.isin("passed", "failed")
+    return rows.groupBy(*by).agg(
+        F.avg(masked.cast("double")).alias("masked_fraction"),
+        F.avg(F.when(correct, masked.cast("double"))).alias("correct_masked_fraction"),
+        F.avg(F.when(checked, (precheck == "passed").cast("double"))).alias("precheck_pass_rate"),
+        *[f(x).alias(f"{name}_{kind}") for name, x in times.items() for kind, f in (("mean", F.avg), ("sum", F.sum))],
+    )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.functions import answers as A
 from siltstone.functions import shaping as H
+from siltstone.functions import text as X
 from siltstone.operators import metrics as M
 from siltstone.operators import ordering as O
 from siltstone.operators.cumulative import interpolated
@@ -49,6 +51,41 @@ def a12(spark, d):
     return g.agg(r6(F.avg("reward")).alias("mean_reward"), r6(F.avg((c("status") == "truncated").cast("double"))).alias("truncated_ratio"), F.count(F.lit(1)).alias("n"))
 
 
+PASS = {1: "1.0 - (n - k) / n", 2: "1.0 - (n - k) / n * (n - k - 1) / (n - 1)", 4: "1.0 - (n - k) / n * (n - k - 1) / (n - 1) * (n - k - 2) / (n - 2) * (n - k - 3) / (n - 3)"}
+
+
+@book.add(
+    "A12_eval_pass_rates",
+    f"{S}, g AS (SELECT rollout_id, group_index, CAST(count(*) AS DOUBLE) AS n, CAST(sum(raw_reward) AS DOUBLE) AS k FROM s GROUP BY ALL) SELECT rollout_id AS dataset, "
+    + ", ".join(f"round(avg(CASE WHEN n >= {k} THEN CASE WHEN n - k < {k} THEN 1.0 ELSE {x} END END), 6) AS pass_at_{k}" for k, x in PASS.items())
+    + " FROM g GROUP BY rollout_id",
+)
+def a12p(spark, d):
+    s = V.samples(spark, d).withColumn("dataset", c("rollout_id"))
+    out = M.pass_rates(s, "dataset", "group_index", c("raw_reward") == 1, list(PASS))
+    return out.select("dataset", *[r6(c(f"pass_at_{k}")).alias(f"pass_at_{k}") for k in PASS])
+
+
+@book.add("A11_repetition_fraction")
+def a11r(spark, d):
+    """Share of texts per source that compress more than tenfold over their last 10,000 characters, as far as they are longer than that."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.groupBy(F.lower(F.trim("source")).alias("source")).agg(r6(F.avg(A.arrow("boolean", X.has_repetition, c("text")).cast("double"))).alias("repetition_fraction"), F.count(F.lit(1)).alias("n"))
+
+
+_CHECK = "CASE event_id % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END"
+
+
+@book.add(
+    "A14_run_rates",
+    f"SELECT user_id, round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS masked_fraction, round(avg(CASE WHEN value > 100 THEN CAST(event_type = 'error' AS INTEGER) END), 6) AS correct_masked_fraction, round(avg(CASE WHEN {_CHECK} IS NOT NULL THEN CAST({_CHECK} = 'passed' AS INTEGER) END), 6) AS precheck_pass_rate, round(avg(value / 10), 6) AS model_time_mean, round(sum(value / 10), 6) AS model_time_sum FROM events GROUP BY user_id",
+)
+def a14r(spark, d):
+    k = F.pmod("event_id", F.lit(3))
+    out = M.run_rates(table(spark, d, "events"), c("event_type") == "error", c("value") > 100, F.when(k == 0, "passed").when(k == 1, "failed"), {"model_time": c("value") / 10}, ["user_id"])
+    return out.select("user_id", *[r6(c(x)).alias(x) for x in out.columns if x != "user_id"])
+
+
 @book.add(
     "A13_throughput",
     f"{S}, m AS (SELECT max(response_length) AS longest, sum(response_length) AS tokens FROM s), t AS (SELECT avg(value / 10.0) AS tail FROM s, m WHERE response_length = longest) SELECT round(tokens / 60.0 / 8, 6) AS tokens_per_gpu_per_sec, round(longest / 60.0, 6) AS longest_sample_tokens_per_sec, round(tail, 6) AS longest_sample_non_generation_time, round(longest / (60.0 - tail), 6) AS longest_sample_tokens_per_sec_without_non_generation FROM m, t",
@@ -148,6 +185,14 @@ def a40(spark, d):
     return M.histogram(V.samples(spark, d).where("raw_reward = 1"), c("response_length"), 200.0, 5).withColumn("fraction", r6(c("fraction")))
 
 
+@book.add("A40_correct_entropy", f"WITH {V.ROWS}, q AS (SELECT seq, sum(-new * mask) / greatest(sum(mask), 1) AS x FROM r GROUP BY seq HAVING min(mask) = 1) SELECT count(*) AS n_correct, round(coalesce(sum(x), 0.0), 5) AS correct_entropy FROM q")
+def a40e(spark, d):
+    """Sum over the correct rows of their mean negative log-prob, 0 if none is correct."""
+    right = V.sequences(spark, d).where(F.array_min("mask") == 1)
+    total = M.sample_mean_sum(F.transform("new", lambda x: -x), c("mask"))
+    return right.agg(F.count(F.lit(1)).alias("n_correct"), F.round(F.coalesce(total, F.lit(0.0)), 5).alias("correct_entropy"))
+
+
 @book.add("A41_request_time", "SELECT user_id, round(sum(coalesce(CASE WHEN event_type <> 'error' THEN value END, 0) + coalesce(CASE WHEN event_type = 'click' THEN value / 2 END, 0)), 6) AS seconds FROM events GROUP BY user_id")
 def a41(spark, d):
     model, tool = F.when(c("event_type") != "error", c("value")), F.when(c("event_type") == "click", c("value") / 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import tokens as T
+from siltstone.operators import estimators as E
 from siltstone.operators import metrics as M
 from siltstone.plans import views as V
 from siltstone.plans.book import Book
@@ -137,6 +138,27 @@ def l10(spark, d):
     return q.agg(r6(pg_sum / n).alias("pg_loss"), r6(kl_sum / n).alias("kl_loss"), r6((pg_sum + 0.1 * kl_sum) / n).alias("loss"))
 
 
+FULL = ("pg_loss", "entropy_loss", "pg_clipfrac", "ppo_kl", "kl_loss", "logprob_abs_diff", "off_policy_fraction", "truncated_fraction", "rejected_fraction")
+_W = "exp(old - base)"
+_MEAN = "sum({x} * {m}) / greatest(sum({m}), 1)"
+
+
+@book.add(
+    "L10_policy_objective",
+    f"""{R}, m AS (SELECT seq, sum((old - new) * mask) / greatest(sum(mask), 1) AS skl FROM r GROUP BY seq),
+z AS (SELECT r.*, m.skl, CASE WHEN adv < 0 AND skl > -0.001 THEN 1.0 ELSE 0.0 END AS off_p, CAST({_W} < 0.9995 OR {_W} > 1.002 AS INTEGER) AS cut, CAST({_W} BETWEEN 0.9992 AND 1.01 AS INTEGER) AS keep FROM r JOIN m USING (seq)),
+y AS (SELECT *, mask * keep AS k, {PG} * (1.0 - off_p) * greatest(least({_W}, 1.002), 0.9995) AS pg, CAST(-{CLIP} * adv > -{RATIO} * adv AS INTEGER) AS clipped, {LOW} AS kl FROM z),
+q AS (SELECT seq, {_MEAN.format(x='pg', m='k')} AS pg_loss, {_MEAN.format(x='val', m='k')} AS entropy_loss, {_MEAN.format(x='clipped', m='k')} AS pg_clipfrac, {_MEAN.format(x='(old - new)', m='k')} AS ppo_kl, {_MEAN.format(x='kl', m='k')} AS kl_loss,
+{_MEAN.format(x='abs(old - base)', m='k')} AS logprob_abs_diff, {_MEAN.format(x='off_p', m='mask')} AS off_policy_fraction, {_MEAN.format(x='cut', m='mask')} AS truncated_fraction, {_MEAN.format(x='(1.0 - keep)', m='mask')} AS rejected_fraction FROM y GROUP BY seq)
+SELECT {", ".join(f"round(avg({x}), 6) + 0.0 AS {x}" for x in FULL)}, round(avg(pg_loss) - 0.01 * avg(entropy_loss) + 0.1 * avg(kl_loss), 6) + 0.0 AS loss FROM q""",
+)
+def l10_full(spark, d):
+    """Every part of the objective: off-policy mask, truncated weights, rejection, entropy and KL terms, with the masks each figure needs."""
+    q = V.sequences(spark, d).withColumns({"rollout": c("base"), "entropy": c("val")})
+    out = E.policy_objective(q, 0.002, 0.005, delta=-0.001, truncate=(0.9995, 1.002), reject=(0.9992, 1.01), entropy_coef=0.01, kl_coef=0.1)
+    return out.select(*[(r6(c(x)) + F.lit(0.0)).alias(x) for x in (*FULL, "loss")])
+
+
 GAE_SQL = f"""WITH RECURSIVE {V.ROWS}, n AS (SELECT seq, max(pos) AS last FROM r GROUP BY seq),
 d AS (SELECT r.seq, r.pos, r.val, n.last, adv + 0.99 * coalesce(lead(val) OVER (PARTITION BY r.seq ORDER BY r.pos), 0.0) - val AS delta FROM r JOIN n USING (seq)),
 g AS (SELECT seq, pos, val, delta AS a FROM d WHERE pos = last UNION ALL SELECT d.seq, d.pos, d.val, d.delta + 0.99 * 0.95 * g.a FROM d JOIN g ON d.seq = g.seq AND d.pos = g.pos - 1)
