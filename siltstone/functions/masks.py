@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 Message = dict
 Tokenizer = Callable[[str], list[int]]
 
@@ -123,3 +126,12 @@ def supervised_sample(messages: list[Message], kind: str = "by_message", tokeniz
     ids, mask = loss_mask(kind, messages, tokenize)
     n = len(mask) - mask.index(1) if 1 in mask else 0
     return {"tokens": ids, "response_length": n, "loss_mask": mask[len(mask) - n :], "reward": 0.0}
+
+
+def role_masks(messages: DataFrame, key: list[str], order: str, role: str, n_tokens: Column) -> DataFrame:
+    """(key, n_tokens, n_learned, mask): per conversation, its turns' tokens in order, 1 where the assistant speaks."""
+    learn = F.col(role) == "assistant"
+    rows = messages.select(*key, F.col(order).alias("_at"), n_tokens.cast("bigint").alias("_n"), learn.alias("_learn"))
+    part = F.struct("_at", F.expr("repeat(CASE WHEN _learn THEN '1' ELSE '0' END, CAST(_n AS INT))").alias("m"))
+    packed = rows.groupBy(*key).agg(F.sum("_n").alias("n_tokens"), F.sum(F.when(F.col("_learn"), F.col("_n")).otherwise(0)).alias("n_learned"), F.array_sort(F.collect_list(part)).alias("_m"))
+    return packed.select(*key, "n_tokens", "n_learned", F.array_join(F.col("_m.m"), "").alias("mask"))

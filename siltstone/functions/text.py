@@ -244,3 +244,27 @@ def parse_payload(body: str | None) -> str | None:
     except ValueError:
         return None
     return json.dumps(json.loads(x), sort_keys=True) if isinstance(x, str) else json.dumps(x, sort_keys=True)
+
+
+def snippet_paragraph(text: Column, snippet: Column) -> Column:
+    """The paragraph of a page around a snippet, in which line breaks stand as blanks; null if the page doesn't hold it."""
+    at = F.call_function("locate", snippet, F.replace(text, F.lit("\n"), F.lit(" ")))
+    head = F.element_at(F.split(F.substring(text, F.lit(1), at), "\n"), -1)
+    middle = F.substring(text, at + 1, F.length(snippet) - 1)
+    tail = F.element_at(F.split(F.substring(text, at + F.length(snippet), F.length(text)), "\n"), 1)
+    return F.when((at > 0) & (F.length(snippet) > 0), F.regexp_replace(F.concat(head, middle, tail), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
+
+def call_to_action(calls: Column, said: Column) -> Column:
+    """struct(name, kwargs) of the first tool call (name, parameters); without a call, or with parameters that are no JSON object, a reply."""
+    first = F.get(calls, F.lit(0))
+    valid = F.from_json(first["parameters"], "map<string,string>").isNotNull() & F.ltrim(first["parameters"]).startswith("{")
+    reply = F.struct(F.lit("respond").alias("name"), F.to_json(F.struct(said.alias("content"))).alias("kwargs"))
+    return F.when(F.coalesce(valid, F.lit(False)), F.struct(first["name"].alias("name"), first["parameters"].alias("kwargs"))).otherwise(reply)
+
+
+def step_outcome(said: Column, tool: str) -> Column:
+    """What an environment's step comes to: no call, a call of another tool, a call without an answer, or an answer to score."""
+    call = tool_call(said)
+    answer = F.trim(F.coalesce(F.get_json_object(call["arguments"], "$.answer"), F.lit("")))
+    return F.when(call["name"].isNull(), "no_call").when(call["name"] != tool, "bad_tool").when(answer == "", "missing_answer").otherwise("scored")

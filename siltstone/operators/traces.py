@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.cumulative import range_blocks, running_max
+from siltstone.operators.cumulative import range_blocks, running_max, running_total
 from siltstone.session import materialize
 
 
@@ -79,6 +79,29 @@ def first_overlap(gap: DataFrame, ops: DataFrame, keys: list[str], start: str, e
     return gap.join(first, [*keys, "gap_start", "gap_end"], "left")
 
 
+CONTEXT_VERSION = 1
+CONTEXT = "version int, trace_id bigint, sample_id bigint, group_id bigint, attempt bigint, parent_span_id bigint"
+
+
+def export_context(ids: dict[str, Column]) -> Column:
+    """A trace's ids as a JSON payload; what is missing stays out of it."""
+    return F.to_json(F.struct(F.lit(CONTEXT_VERSION).alias("version"), *[x.alias(n) for n, x in ids.items()]))
+
+
+def import_context(rows: DataFrame, payload: str) -> DataFrame:
+    """Add the ids of a payload; an unreadable one gives null ids, a missing attempt is 0."""
+    x = F.from_json(payload, CONTEXT)
+    names = [part.split()[0] for part in CONTEXT.split(", ")]
+    return rows.select("*", *[(F.coalesce(x[n], F.lit(0)) if n == "attempt" else x[n]).alias(n) for n in names])
+
+
+def attempts(events: DataFrame, keys: list[str], seq: str, failed: str) -> DataFrame:
+    """Add ``attempt``, the failures (0 or 1) before each event of its trace, and ``_first``; a trace may hold any share of the events."""
+    run = running_total(events, keys, [seq], failed).withColumn("attempt", F.col("_cum") - F.col(failed))
+    first = events.groupBy(*keys).agg(F.min(seq).alias("_from"))
+    return run.join(first, keys).withColumn("_first", F.col(seq) == F.col("_from")).drop("_cum", "_total", "_from")
+
+
 def next_sibling(spans: DataFrame, parent: list[str], start: str) -> DataFrame:
     """Add ``next_start``: the least start among the parent's spans that is strictly later."""
     w = Window.partitionBy(*parent).orderBy(start)

@@ -120,6 +120,17 @@ def s21(spark, d):
     return B.run_to_end(B.complete_groups(B.file_stream(spark, path), 9), B.OUT, "inbox-out").select("instance_id", "n_items")
 
 
+@book.add("S22_drained_groups", "SELECT event_id // 9 AS instance_id, count(*) AS n_items, CAST(1 AS INTEGER) AS read FROM events GROUP BY 1 HAVING count(*) >= 9")
+def s22(spark, d):
+    """Reads that drain: each gives the groups that were completed since the last one, and none twice."""
+    inbox, out, cursor = (scratch_path(spark, x) for x in ("drain-inbox", "drain-groups", "drain-cursor"))
+    items = table(spark, d, "events").select(F.floor(c("event_id") / 9).alias("instance_id"), c("event_id").alias("item_id"), "value")
+    items.write.parquet(inbox)
+    B.run_to_end(B.complete_groups(B.file_stream(spark, inbox), 9), B.OUT, out=out)
+    reads = [B.drain(spark, out, cursor).withColumn("read", F.lit(k)) for k in (1, 2)]
+    return reads[0].unionByName(reads[1]).select("instance_id", "n_items", "read")
+
+
 @registry.register("rollout", "from_events")
 def _rollout(spark, config, rollout_id, evaluation=False):
     s = V.samples(spark, config["dir"])
@@ -173,17 +184,40 @@ def h05(spark, d):
     return both.groupBy("selected").agg(F.count(F.lit(1)).alias("n"))
 
 
+@registry.register("sample_filter", "too_long")
+def _too_long(samples):
+    return F.col("response_length") > 150
+
+
+@registry.register("data_postprocess", "only_gains")
+def _only_gains(rows):
+    return rows.withColumn("mask", F.zip_with("mask", "adv", lambda m, a: F.when(a < 0, 0).otherwise(m)))
+
+
+@registry.register("importance", "at_most_one")
+def _at_most_one(train, rollout, mask):
+    return F.zip_with(train, rollout, lambda a, b: F.least(F.exp(a - b), F.lit(1.0))), mask
+
+
+@registry.register("loss_reducer", "worst")
+def _worst(x, mask):
+    return F.max(T.masked_sum(x, mask))
+
+
+@registry.register("log", "written_elsewhere")
+def _written_elsewhere(metrics):
+    return True
+
+
 @book.add("H06_sample_filter", f"{S} SELECT sample_index, response_length > 150 AS remove_sample FROM s")
 def h06(spark, d):
-    too_long = lambda samples: c("response_length") > 150
     s = V.samples(spark, d)
-    return s.select("sample_index", too_long(s).alias("remove_sample"))
+    return s.select("sample_index", registry.get("sample_filter", "too_long")(s).alias("remove_sample"))
 
 
 @book.add("H08_data_postprocess", f"{RW} SELECT seq, CAST(sum(CASE WHEN adv < 0 THEN 0 ELSE mask END) AS BIGINT) AS n FROM r GROUP BY seq")
 def h08(spark, d):
-    post = lambda df: df.withColumn("mask", F.zip_with("mask", "adv", lambda m, a: F.when(a < 0, 0).otherwise(m)))
-    return post(V.sequences(spark, d)).select("seq", F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
+    return registry.get("data_postprocess", "only_gains")(V.sequences(spark, d)).select("seq", F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
 
 
 @book.add("H09_loss_function", f"{RW}, q AS (SELECT seq, sum(val * val * mask) / greatest(sum(mask), 1) AS x FROM r GROUP BY seq) SELECT round(avg(x), 6) AS loss FROM q")
@@ -193,15 +227,14 @@ def h09(spark, d):
 
 @book.add("H10_importance_function", f"{RW} SELECT seq, round(sum(least(exp(old - base), 1.0) * mask), 5) AS total FROM r GROUP BY seq")
 def h10(spark, d):
-    own = lambda t, r, m: (F.zip_with(t, r, lambda a, b: F.least(F.exp(a - b), F.lit(1.0))), m)
-    w, m = own(c("old"), c("base"), c("mask"))
+    w, m = registry.get("importance", "at_most_one")(c("old"), c("base"), c("mask"))
     return V.sequences(spark, d).select("seq", F.round(T.masked_sum(w, m), 5).alias("total"))
 
 
 @book.add("H11_loss_reducer", f"{RW}, q AS (SELECT seq, sum(val * mask) AS x FROM r GROUP BY seq) SELECT round(max(x), 6) AS worst FROM q")
 def h11(spark, d):
-    worst = lambda x, m: F.max(T.masked_sum(x, m))
-    return V.sequences(spark, d).agg(F.round(worst(c("val"), c("mask")), 6).alias("worst"))
+    reducer = registry.get("loss_reducer", "worst")
+    return V.sequences(spark, d).agg(F.round(reducer(c("val"), c("mask")), 6).alias("worst"))
 
 
 @book.add("H12_advantage_function", f"{RW} SELECT seq, pos, round(-val, 6) + 0.0 AS adv FROM r")
@@ -210,19 +243,37 @@ def h12(spark, d):
     return per_token(E.advantages(batch(spark, d), "custom", custom=own), c("advantages"))
 
 
-@book.add("H07_all_samples_callback", f"{S} SELECT count(*) AS seen FROM s")
+@book.add("H10_importance_in_objective", f"{RW}, z AS (SELECT seq, mask, greatest(-exp(new - old) * adv, -greatest(least(exp(new - old), 1.2), 0.8) * adv) * least(exp(old - base), 1.0) AS x FROM r), q AS (SELECT seq, sum(x * mask) AS x FROM z GROUP BY seq) SELECT round(max(x) / count(*), 6) + 0.0 AS pg_loss FROM q")
+def h10o(spark, d):
+    """A custom importance function and reducer inside the policy objective."""
+    q = V.sequences(spark, d).withColumns({"rollout": c("base"), "entropy": c("val")})
+    out = E.policy_objective(q, 0.2, 0.2, importance=registry.get("importance", "at_most_one"), reducer=registry.get("loss_reducer", "worst"))
+    return out.select((F.round("pg_loss", 6) + F.lit(0.0)).alias("pg_loss"))
+
+
+@book.add("H07_all_samples_callback", f"{S} SELECT status, count(*) AS seen FROM s GROUP BY status")
 def h07(spark, d):
-    seen = []
-    hook = lambda samples: seen.append(samples.count())
-    hook(V.samples(spark, d))
-    return spark.createDataFrame([(seen[0],)], "seen bigint")
+    """The callback sees every sample, those too that a filter drops from training; here it writes them to a table."""
+    path = scratch_path(spark, "all-samples")
+
+    @registry.register("all_samples", "keep_copy")
+    def keep_copy(samples):
+        samples.select("sample_index", "status").write.parquet(path)
+
+    kept = registry.process_samples(V.samples(spark, d), keep=c("status") == "completed", callback=registry.get("all_samples", "keep_copy"))
+    assert "status" in kept.columns
+    return spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("seen"))
 
 
-@book.add("H15_log_hook", "SELECT 'skipped' AS default_log")
+@book.add("H15_log_hook", "SELECT 'default' AS log, round(avg(value), 6) AS mean FROM events")
 def h15(spark, d):
-    own = lambda metrics: True
-    done = own(table(spark, d, "events").agg(F.avg("value").alias("x")))
-    return spark.createDataFrame([("skipped" if done else "written",)], "default_log string")
+    """A hook that returns true skips the default log; without one the default sink gets the metrics."""
+    path = scratch_path(spark, "default-log")
+    metrics = table(spark, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"))
+    sink = lambda m: m.write.mode("append").parquet(path)
+    registry.log(metrics, sink, hook=registry.get("log", "written_elsewhere"))
+    registry.log(metrics, sink)
+    return spark.read.schema(metrics.schema).parquet(path).select(F.lit("default").alias("log"), "mean")
 
 
 @book.add("H16_data_source", "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY ((p_partkey + 42) * 7919 + 104729) % 1000003, p_partkey) AS rn FROM part) SELECT p_partkey FROM p WHERE rn > 20 AND rn <= 50")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import snippet_paragraph
 from siltstone.operators import retrieval as R
 from siltstone.operators.cumulative import running_total
 from siltstone.plans import views as V
@@ -92,13 +93,15 @@ def j17(spark, d):
     return table(spark, d, "samples").select("sample_index", F.coalesce(c("label"), F.get_json_object("metadata", "$.rm_type")).alias("value"))
 
 
-@book.add("J18_snippet_paragraph", "WITH x AS (SELECT doc_id, text, substr(text, CAST(length(text) // 2 AS BIGINT), 20) AS sn FROM documents WHERE length(text) > 60 AND NOT contains(text, chr(13))), y AS (SELECT doc_id, sn, list_filter(string_split(text, chr(10)), lambda l: contains(l, sn)) AS hit FROM x) SELECT doc_id, CASE WHEN len(hit) > 0 THEN hit[1] END AS paragraph FROM y")
+@book.add(
+    "J18_snippet_paragraph",
+    "WITH x AS (SELECT doc_id, text, substr(replace(text, chr(10), ' '), CAST(greatest(length(text) // 2, 1) AS BIGINT), 20) AS sn FROM documents), y AS (SELECT *, strpos(replace(text, chr(10), ' '), sn) AS pos FROM x) SELECT doc_id, CASE WHEN pos > 0 AND length(sn) > 0 THEN regexp_replace(string_split(left(text, pos), chr(10))[-1] || substr(text, pos + 1, length(sn) - 1) || string_split(substr(text, pos + length(sn)), chr(10))[1], '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END AS paragraph FROM y",
+)
 def j18(spark, d):
-    """The first line that holds the snippet from the middle of each text."""
-    docs = table(spark, d, "documents").where("length(text) > 60 AND NOT contains(text, chr(13))")
-    sn = F.substring("text", F.call_function("div", F.length("text"), F.lit(2)).cast("int"), F.lit(20))
-    rows = docs.select("doc_id", sn.alias("sn"), F.split("text", "\n").alias("lines"))
-    return rows.select("doc_id", F.try_element_at(F.filter("lines", lambda x: F.contains(x, c("sn"))), F.lit(1)).alias("paragraph"))
+    """The paragraph around the snippet from the middle of each text."""
+    docs = table(spark, d, "documents")
+    sn = F.substring(F.replace(c("text"), F.lit("\n"), F.lit(" ")), F.greatest(F.call_function("div", F.length("text"), F.lit(2)).cast("int"), F.lit(1)), F.lit(20))
+    return docs.select("doc_id", snippet_paragraph(c("text"), sn).alias("paragraph"))
 
 
 @book.add("F21_link_filter", "WITH l AS (SELECT doc_id, 'https://site.example/' || coalesce(project_key, 'p') || CASE doc_id % 4 WHEN 0 THEN '/page.html' WHEN 1 THEN '/file.pdf' WHEN 2 THEN '/folder/' ELSE '/index.HTM?x=1' END AS url, CASE WHEN doc_id % 5 = 0 THEN 'application/pdf' END AS mime FROM documents) SELECT doc_id FROM l WHERE mime IS NULL AND lower(regexp_extract(url, '^[a-z]+://[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) IN ('', 'html', 'htm', 'shtml')")

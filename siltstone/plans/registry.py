@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What each hook takes and gives.
@@ -61,6 +61,21 @@ def decide(hook: Callable | None, samples: DataFrame, key: list[str]) -> DataFra
     return out if "reason" in out.columns else out.withColumn("reason", F.lit(None).cast("string"))
 
 
+def process_samples(samples: DataFrame, keep: Column | None = None, callback: Callable | None = None) -> DataFrame:
+    """The samples kept for training; a callback sees all of them first."""
+    if callback is not None:
+        callback(samples)
+    return samples if keep is None else samples.where(keep)
+
+
+def log(metrics: DataFrame, sink: Callable, hook: Callable | None = None) -> bool:
+    """Send the metrics to the sink unless a hook takes them over; whether the sink was used."""
+    if hook is not None and hook(metrics):
+        return False
+    sink(metrics)
+    return True
+
+
 def override(dataset: dict, defaults: dict, arguments: dict, fields: list[str]) -> dict:
     """Settings by precedence: the dataset's own, the defaults, the arguments."""
     return {f: next((x[f] for x in (dataset, defaults, arguments) if x.get(f) is not None), None) for f in fields}

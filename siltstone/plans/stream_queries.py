@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import traces as S
 from siltstone.plans import views as V
 from siltstone.plans.book import Book
-from siltstone.session import table
+from siltstone.session import scratch_path, table
 from siltstone.streaming import buffer as B
 
 book = Book()
@@ -64,8 +65,35 @@ def t15(spark, d):
     return B.slow_requests(rows, "user_id", "step", "value", 10, 5.0, "user_id bigint, seq bigint, step bigint, value double, slow boolean").select("seq", "slow")
 
 
-@book.add("T16_trace_context", "SELECT event_id, user_id AS trace_id, event_id // 8 AS group_id FROM events")
+_IDS = "user_id AS trace_id, event_id AS sample_id, event_id // 8 AS group_id, event_id % 4 AS attempt, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS parent_span_id"
+
+
+@book.add("T16_trace_context", f"SELECT event_id, 1 AS version, {_IDS} FROM events")
 def t16(spark, d):
-    carried = F.to_json(F.struct(c("user_id").alias("trace_id"), F.floor(c("event_id") / 8).alias("group_id")))
-    x = F.from_json(carried, "trace_id bigint, group_id bigint")
-    return table(spark, d, "events").select("event_id", x["trace_id"].alias("trace_id"), x["group_id"].alias("group_id"))
+    """The context's ids through a JSON payload and back, as it crosses a process boundary."""
+    e = table(spark, d, "events")
+    ids = {"trace_id": c("user_id"), "sample_id": c("event_id"), "group_id": F.floor(c("event_id") / 8), "attempt": F.pmod("event_id", F.lit(4)), "parent_span_id": F.when(F.pmod("event_id", F.lit(3)) == 0, c("event_id") - 1)}
+    return S.import_context(e.select("event_id", S.export_context(ids).alias("payload")), "payload").drop("payload")
+
+
+@book.add("T12_attempts", "SELECT user_id AS trace_id, event_id, CAST(sum(CAST(event_type = 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS before FROM events")
+def t12a(spark, d):
+    """Each failed event starts the trace's next attempt."""
+    e = table(spark, d, "events").withColumn("failed", (c("event_type") == "error").cast("bigint"))
+    return S.attempts(e, ["user_id"], "event_id", "failed").select(c("user_id").alias("trace_id"), "event_id", F.when(c("_first"), F.lit(None)).otherwise(c("attempt")).cast("bigint").alias("before"))
+
+
+@book.add("T04_timed_out_groups", "SELECT event_id // 9 AS instance_id, count(*) AS n_items, count(*) >= 9 AS finished FROM events GROUP BY 1")
+def t04(spark, d):
+    """Groups that stay incomplete come out unfinished once the watermark has passed them."""
+    items = table(spark, d, "events").select(F.floor(c("event_id") / 9).alias("instance_id"), c("event_id").alias("item_id"), "value", c("ts").cast("timestamp").alias("event_time"))
+    inbox, out, state = (scratch_path(spark, x) for x in ("timeout-inbox", "timeout-groups", "timeout-state"))
+    items.write.parquet(inbox)
+    schema = "instance_id bigint, item_id bigint, value double, event_time timestamp"
+    stream = spark.readStream.schema(schema).parquet(inbox).withWatermark("event_time", "1 day")
+    groups = B.timed_out_groups(stream, 9, "2 days")
+    B.run_to_end(groups, B.OUT, out=out, state=state)
+    for year in (2250, 2251):  # rows of no group, which move the watermark on
+        spark.createDataFrame([(None, None, None)], "instance_id bigint, item_id bigint, value double").withColumn("event_time", F.lit(f"{year}-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(inbox)
+        B.run_to_end(groups, B.OUT, out=out, state=state)
+    return spark.read.schema(B.OUT).parquet(out).select("instance_id", "n_items", "finished")

@@ -253,10 +253,18 @@ def c32(spark, d):
     return table(spark, d, "events").select("event_id", X.tool_call(body).alias("x")).select("event_id", "x.name", F.get_json_object("x.arguments", "$.k").alias("k"))
 
 
-@book.add("C33_call_to_action", "SELECT message_id, coalesce(json_extract_string(TRY_CAST(metadata AS JSON), '$.tool_calls[0].name'), 'respond') AS action FROM message_rows WHERE metadata LIKE '{%}'")
+@book.add(
+    "C33_call_to_action",
+    """SELECT event_id, CASE WHEN event_type IN ('error', 'view') OR event_id % 5 = 0 THEN 'respond' ELSE event_type END AS action,
+CASE WHEN event_type IN ('error', 'view') OR event_id % 5 = 0 THEN '{"content":"' || event_type || '"}' ELSE '{"k": ' || event_id || '}' END AS kwargs FROM events""",
+)
 def c33(spark, d):
-    m = table(spark, d, "message_rows").where("metadata LIKE '{%}'")
-    return m.select("message_id", F.coalesce(F.get_json_object("metadata", "$.tool_calls[0].name"), F.lit("respond")).alias("action"))
+    """The first of two calls wins; cut-off parameters, a list of them and no call at all fall back to a reply."""
+    good = F.concat(F.lit('{"k": '), c("event_id").cast("string"), F.lit("}"))
+    parameters = F.when(c("event_type") == "error", F.substring(good, 1, 5)).when(F.pmod("event_id", F.lit(5)) == 0, F.concat(F.lit("["), good, F.lit("]"))).otherwise(good)
+    call = lambda name, p: F.struct(name.alias("name"), p.alias("parameters"))
+    calls = F.when(c("event_type") == "view", F.array().cast("array<struct<name:string,parameters:string>>")).otherwise(F.array(call(c("event_type"), parameters), call(F.lit("second"), good)))
+    return table(spark, d, "events").select("event_id", X.call_to_action(calls, c("event_type")).alias("x")).select("event_id", c("x.name").alias("action"), c("x.kwargs").alias("kwargs"))
 
 
 @book.add("C34_balanced_json", "SELECT event_id, '{\"a\": \"}\", \"k\": ' || event_id || '}' AS body FROM events")
@@ -270,6 +278,23 @@ def c35(spark, d):
     return one(spark, d).where("response IS NOT NULL").select("sample_index", X.last_line(c("response")).alias("answer"))
 
 
+@book.add("C35_boxed_or_last_line", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'last line' WHEN event_type = 'view' THEN 'x{' || event_id || '}' ELSE CAST(event_id AS VARCHAR) END AS answer FROM events")
+def c35b(spark, d):
+    """The last box if it holds something, else the last line."""
+    inner = F.when(c("event_type") == "error", " ").when(c("event_type") == "view", F.concat(F.lit("x{"), c("event_id").cast("string"), F.lit("}"))).otherwise(c("event_id").cast("string"))
+    said = F.concat(F.lit("\\boxed{old} so \\boxed{"), inner, F.lit("}\nlast line\n \n"))
+    box = F.trim(A.arrow("string", A.boxed_content, said))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.when(box != "", box), X.last_line(said)).alias("answer"))
+
+
+@book.add("C36_tool_step_outcome", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'no_call' WHEN event_type = 'view' THEN 'bad_tool' WHEN event_id % 2 = 0 THEN 'missing_answer' ELSE 'scored' END AS outcome FROM events")
+def c36t(spark, d):
+    name = F.when(c("event_type") == "view", "search").otherwise("score")
+    args = F.when(F.pmod("event_id", F.lit(2)) == 0, '{"answer": " "}').otherwise('{"answer": "12"}')
+    call = F.concat(F.lit('<tool_call>{"name": "'), name, F.lit('", "arguments": '), args, F.lit("}</tool_call>"))
+    return table(spark, d, "events").select("event_id", X.step_outcome(F.when(c("event_type") == "error", "no call here").otherwise(call), "score").alias("outcome"))
+
+
 @book.add("C36_step_outcome", f"WITH {ONE} SELECT sample_index, CASE WHEN response IS NULL OR NOT contains(response, '<answer>') THEN 'no_call' WHEN trim(regexp_extract(response, '(?s)<answer>(.*?)</answer>', 1)) = '' THEN 'missing_answer' ELSE 'scored' END AS outcome FROM o")
 def c36(spark, d):
     answer = F.trim(F.regexp_extract("response", r"(?s)<answer>(.*?)</answer>", 1))
@@ -425,7 +450,30 @@ def m07(spark, d):
     return table(spark, d, "events").select("event_id", F.size(mask).alias("size"), F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
 
 
-@book.add("M09_role_token_mask", "SELECT sample_index, CAST(sum(length(coalesce(message_content, ''))) AS BIGINT) AS n_tokens FROM (SELECT message_id, max(sample_index) AS sample_index, max(message_content) AS message_content FROM message_rows WHERE sample_index IS NOT NULL GROUP BY message_id) GROUP BY sample_index")
+_TURN = "'<|im_start|>' || CASE WHEN {r} THEN 'assistant' ELSE 'user' END || chr(10) || event_type || '<|im_end|>' || chr(10)"
+_LEARN = "event_type IN ('purchase', 'click')"
+
+
+@book.add(
+    "M05_mask_positions",
+    f"WITH e AS (SELECT user_id, event_id, length({_TURN.format(r=_LEARN)}) AS n, {_LEARN} AS learn FROM events), m AS (SELECT user_id, string_agg(CASE WHEN learn THEN repeat('0', 22) || repeat('1', CAST(n - 22 AS INTEGER)) ELSE repeat('0', CAST(n AS INTEGER)) END, '' ORDER BY event_id) AS mask FROM e GROUP BY user_id) SELECT user_id, mask AS by_message, mask AS by_prefixed_message, mask AS by_offsets FROM m",
+)
+def m05p(spark, d):
+    """The masks of whole multi-turn chats, position by position, by three variants."""
+    kinds = ("by_message", "by_prefixed_message", "by_offsets")
+
+    def run(rows: pd.Series) -> pd.DataFrame:
+        chats = [[{"role": "assistant" if x["learn"] else "user", "content": x["text"]} for x in chat] for chat in rows]
+        return pd.DataFrame({k: ["".join(map(str, K.loss_mask(k, m)[1])) for m in chats] for k in kinds})
+
+    masks = F.pandas_udf(run, ", ".join(f"{k} string" for k in kinds))
+    turn = F.struct("event_id", c("event_type").isin("purchase", "click").alias("learn"), c("event_type").alias("text"))
+    chats = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(turn)).alias("chat"))
+    return chats.select("user_id", masks("chat").alias("x")).select("user_id", "x.*")
+
+
+@book.add("M09_role_token_mask", f"SELECT user_id, CAST(sum(length(event_type)) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN {_LEARN} THEN length(event_type) ELSE 0 END) AS BIGINT) AS n_learned, string_agg(repeat(CASE WHEN {_LEARN} THEN '1' ELSE '0' END, CAST(length(event_type) AS INTEGER)), '' ORDER BY event_id) AS mask FROM events GROUP BY user_id")
 def m09(spark, d):
-    m = table(spark, d, "message_rows").where("sample_index IS NOT NULL").groupBy("message_id").agg(F.max("sample_index").alias("sample_index"), F.max("message_content").alias("t"))
-    return m.groupBy("sample_index").agg(F.sum(F.length(F.coalesce("t", F.lit(""))).cast("bigint")).alias("n_tokens"))
+    """Tokens of each turn by role: an assistant's count, all others don't; one token per character."""
+    rows = table(spark, d, "events").withColumn("role", F.when(c("event_type").isin("purchase", "click"), "assistant").otherwise("user"))
+    return K.role_masks(rows, ["user_id"], "event_id", "role", F.length("event_type"))

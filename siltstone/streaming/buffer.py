@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,11 +42,54 @@ def complete_groups(items: DataFrame, size: int, timeout_ms: int | None = None)
     return items.groupBy("instance_id").applyInPandasWithState(step, OUT, "held string", "append", kind)
 
 
-def run_to_end(stream: DataFrame, schema: str, label: str = "stream") -> DataFrame:
-    """Run a streaming plan over what is there and return its output table."""
+def timed_out_groups(items: DataFrame, size: int, idle: str) -> DataFrame:
+    """As ``complete_groups``, by event time: a group whose last item is ``idle`` behind the watermark comes out unfinished.
+
+    ``items`` is a stream (instance_id, item_id, value, event_time) with a watermark on ``event_time``; rows without an instance only move it.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last = (json.loads(state.get[0]) if state.exists else ({}, 0.0))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"instance_id": [key[0]], "n_items": [len(held)], "total": [float(sum(held.values()))], "finished": [False]})
+            return
+        for p in parts:
+            held.update(zip(map(str, p["item_id"]), p["value"].astype(float)))
+            last = max(last, p["event_time"].max().timestamp())
+        if key[0] is None or key[0] != key[0]:
+            return
+        if len(held) >= size:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"instance_id": [key[0]], "n_items": [len(held)], "total": [float(sum(held.values()))], "finished": [True]})
+            return
+        state.update((json.dumps((held, last)),))
+        state.setTimeoutTimestamp(max(int((last + wait) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    wait = pd.Timedelta(idle).total_seconds()
+    return items.groupBy("instance_id").applyInPandasWithState(step, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(spark: SparkSession, out: str, cursor: str) -> DataFrame:
+    """The groups in the output folder ``out`` that no read with this ``cursor`` has given yet; the cursor is a table of files read.
+
+    The cursor moves before the rows are given, so a failed reader loses a read rather than getting groups twice.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("path")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cursor)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        files = files.join(spark.read.schema("path string").parquet(cursor), "path", "left_anti")
+    new = [r["path"] for r in files.toLocalIterator()]
+    spark.createDataFrame([(p,) for p in new], "path string").write.mode("append").parquet(cursor)
+    return spark.read.schema(OUT).parquet(*new) if new else spark.createDataFrame([], OUT)
+
+
+def run_to_end(stream: DataFrame, schema: str, label: str = "stream", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a streaming plan over what is there and return its output table; with the same ``out`` and ``state`` a later run goes on."""
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, label + "-state")).trigger(availableNow=True).outputMode("append").start()
+    out, state = out or scratch_path(spark, label), state or scratch_path(spark, label + "-state")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
