@@ -7,7 +7,7 @@ from importlib import import_module
 FLAGSHIP = "A04_group_reward_norm"
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in ("group", "sequence", "metric", "order", "lookup", "trace", "text", "record", "stream", "hook"):
+for _name in ("group", "sequence", "metric", "order", "lookup", "trace", "text", "record", "stream", "hook", "case"):
     try:
         _book = import_module(f"siltstone.plans.{_name}_queries").book
     except ModuleNotFoundError as e:

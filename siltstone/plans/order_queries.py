@@ -71,12 +71,37 @@ def o12e(spark, d):
     return B.assign(full, "rollout_id", "sample_index", "response_length", 8, equal=True)
 
 
-@book.add("O13_least_loaded_partition")
+FOLD = f"WITH RECURSIVE {V.SAMPLES}, n AS (SELECT rollout_id, sample_index, response_length AS n, row_number() OVER (PARTITION BY rollout_id ORDER BY sample_index) AS i FROM s)"
+_STEP = "FROM f JOIN n ON n.rollout_id = f.rollout_id AND n.i = f.i + 1"
+
+
+@book.add(
+    "O12_partition_bounds",
+    f"WITH {V.SAMPLES} SELECT rollout_id, count(*) AS n, CAST(sum(response_length) AS BIGINT) AS total, true AS within FROM s GROUP BY rollout_id",
+)
+def o12b(spark, d):
+    """Nothing is lost, and no two of a batch's ranks differ by more than its longest item."""
+    ranks = B.assign(V.samples(spark, d), "rollout_id", "sample_index", "response_length", 8)
+    loads = ranks.groupBy("rollout_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.sum("response_length").alias("t"), F.max("response_length").alias("longest"))
+    return loads.groupBy("rollout_id").agg(F.sum("n").alias("n"), F.sum("t").alias("total"), ((F.max("t") - F.when(F.count(F.lit(1)) == 8, F.min("t")).otherwise(0)) <= F.max("longest")).alias("within"))
+
+
+@book.add(
+    "O13_least_loaded_partition",
+    f"""{FOLD}, f AS (SELECT DISTINCT rollout_id, CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(0 AS BIGINT) AS p FROM s
+UNION ALL SELECT rollout_id, i, list_concat(list_concat(loads[1:p - 1], [loads[p] + n]), loads[p + 1:]), p FROM (SELECT n.rollout_id, n.i, n.n, f.loads, list_position(f.loads, list_min(f.loads)) AS p {_STEP}))
+SELECT n.rollout_id, n.sample_index, n.n AS response_length, CAST(f.p - 1 AS INTEGER) AS rank FROM n JOIN f USING (rollout_id, i)""",
+)
 def o13(spark, d):
     return B.assign(V.samples(spark, d), "rollout_id", "sample_index", "response_length", 8, "least_loaded")
 
 
-@book.add("O14_first_fit_bins")
+@book.add(
+    "O14_first_fit_bins",
+    f"""{FOLD}, f AS (SELECT DISTINCT rollout_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS loads FROM s
+UNION ALL SELECT rollout_id, i, CASE WHEN coalesce(p, 0) = 0 THEN list_append(loads, n) ELSE list_concat(list_concat(loads[1:p - 1], [loads[p] + n]), loads[p + 1:]) END FROM (SELECT n.rollout_id, n.i, n.n, f.loads, list_position(list_transform(f.loads, lambda x: x + n.n <= 512), true) AS p {_STEP}))
+SELECT rollout_id, CAST(len(loads) AS INTEGER) AS n_bins FROM f QUALIFY i = max(i) OVER (PARTITION BY rollout_id)""",
+)
 def o14(spark, d):
     return B.bin_counts(V.samples(spark, d), "rollout_id", "sample_index", "response_length", 512)
 
@@ -114,7 +139,12 @@ def o20(spark, d):
     return O.positions(e, ["k", "event_id"], "idx").select("idx", c("event_id").alias("inverse"))
 
 
-@book.add("O21_bounded_chunks")
+@book.add(
+    "O21_bounded_chunks",
+    f"""{FOLD}, f AS (SELECT DISTINCT rollout_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS load, CAST(0 AS BIGINT) AS chunk FROM s
+UNION ALL SELECT n.rollout_id, n.i, CASE WHEN f.load > 0 AND f.load + n.n > 1000 THEN n.n ELSE f.load + n.n END, CASE WHEN f.load > 0 AND f.load + n.n > 1000 THEN f.chunk + 1 ELSE f.chunk END {_STEP})
+SELECT n.rollout_id, n.sample_index, n.n AS response_length, CAST(f.chunk AS INTEGER) AS chunk FROM n JOIN f USING (rollout_id, i)""",
+)
 def o21(spark, d):
     import pandas as pd
 

@@ -100,7 +100,15 @@ def j11(spark, d):
     return T.clip_open(opened, "known", c("next_start"), c("last")).select("trace", "span", F.round("clipped_end", 3).alias("clipped_end"))
 
 
-@book.add("W08_enclosing_span")
+@book.add(
+    "W08_enclosing_span",
+    f"""WITH RECURSIVE {V.SPANS}, e AS (SELECT trace, span, 'span_start' AS kind, span * 2 AS seq FROM p WHERE span % 11 <> 0 UNION ALL SELECT trace, span, 'span_end', span * 2 + 1 FROM p WHERE "end" IS NOT NULL AND span % 7 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY seq) AS i FROM e),
+f AS (SELECT DISTINCT trace, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stack, CAST(NULL AS BIGINT) AS enclosing FROM e
+UNION ALL SELECT trace, i, CASE WHEN kind = 'span_start' THEN list_append(stack, span) WHEN place > 0 THEN list_concat(stack[1:place - 1], stack[place + 1:]) ELSE stack END, CASE WHEN kind = 'span_start' OR place = 0 THEN stack[len(stack)] WHEN place > 1 THEN stack[place - 1] END
+FROM (SELECT n.trace, n.i, n.kind, n.span, f.stack, CASE WHEN list_contains(f.stack, n.span) THEN len(f.stack) - list_position(list_reverse(f.stack), n.span) + 1 ELSE 0 END AS place FROM f JOIN n ON n.trace = f.trace AND n.i = f.i + 1))
+SELECT n.trace, n.span, n.kind, n.seq, f.enclosing FROM n JOIN f USING (trace, i)""",
+)
 def w08(spark, d):
     rows = span_events(spark, d).select("trace", "span", "kind", "seq")
     return T.stack_parents(rows, "trace", "trace bigint, span bigint, kind string, seq bigint, enclosing bigint")
