@@ -124,13 +124,13 @@ def o17(spark, d):
 
 @book.add(
     "O18_trajectory_split",
-    f"{S}, {V.TURNS}, k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM t)) SELECT user_id, turn_idx, k // (n // 2) AS rank FROM t JOIN k USING (user_id) WHERE k < n // 2 * 2",
+    f"{S}, {V.TURNS}, k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM t)) SELECT user_id, turn_idx, k // (CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END) AS rank FROM t JOIN k USING (user_id)",
 )
 def o18(spark, d):
+    """Whole trajectories on two ranks; an odd number of them doesn't divide and stays on one."""
     t = V.turns(spark, d)
-    users = t.select("user_id").distinct().count()
-    even = O.positions(t.select("user_id").distinct(), ["user_id"], "k").where(c("k") < users // 2 * 2).select("user_id")
-    return O.trajectory_split(t.join(even, "user_id", "left_semi"), "user_id", 2).select("user_id", "turn_idx", "rank")
+    ranks = 2 if t.select("user_id").distinct().count() % 2 == 0 else 1
+    return O.trajectory_split(t, "user_id", ranks).select("user_id", "turn_idx", "rank")
 
 
 @book.add("O20_inverse_permutation", f"SELECT row_number() OVER (ORDER BY {mix('event_id', 5)}, event_id) - 1 AS idx, event_id AS inverse FROM events")

@@ -262,10 +262,10 @@ def p26(spark, d):
 
 @book.add("P27_segment_append", "SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS learned, round(sum(CASE WHEN event_type <> 'error' THEN -value / 500.0 ELSE 0.0 END), 6) AS lp FROM events GROUP BY user_id")
 def p27(spark, d):
+    """Segments appended to a user's conversation: the model's count, tools' and users' don't; sums need no order."""
     model = c("event_type") != "error"
-    row = F.struct("event_id", model.cast("bigint").alias("m"), F.when(model, -c("value") / 500.0).otherwise(0.0).alias("lp"))
-    packed = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("x"))
-    return packed.select("user_id", F.size("x").alias("n"), F.aggregate("x.m", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("learned"), F.round(F.aggregate("x.lp", F.lit(0.0), lambda a, b: a + b), 6).alias("lp"))
+    lp = F.when(model, -c("value") / 500.0).otherwise(0.0)
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(model.cast("bigint")).alias("learned"), F.round(F.sum(lp), 6).alias("lp"))
 
 
 @book.add("P35_turn_log", f"{S}, {V.TURNS} SELECT user_id, turn_idx, reward, response_length, CASE WHEN removed THEN 'abort' ELSE 'stop' END AS finish FROM t")

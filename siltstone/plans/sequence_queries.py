@@ -52,12 +52,9 @@ def l02(spark, d):
     return per_token(q, loss=loss, clipped=clipped)
 
 
-@token_query("L03_ppo_token_rewards", {"reward": "-0.1 * (old - new) + CASE WHEN pos = 15 THEN 1.0 ELSE 0.0 END"})
+@book.add("L03_ppo_token_rewards", f"{R} SELECT seq, pos, round(-0.1 * (old - new) + CASE WHEN pos = max(pos) OVER (PARTITION BY seq) THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS reward FROM r")
 def l03(spark, d):
-    return per_token(V.sequences(spark, d).where("size(old) = 16"), reward=T.ppo_rewards(F.zip_with("old", "new", lambda o, n: o - n), F.lit(1.0), 0.1))
-
-
-book.sql["L03_ppo_token_rewards"] = f"{R}, n AS (SELECT seq FROM r GROUP BY seq HAVING count(*) = 16) SELECT seq, pos, round(-0.1 * (old - new) + CASE WHEN pos = 15 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS reward FROM r WHERE seq IN (SELECT seq FROM n)"
+    return per_token(V.sequences(spark, d), reward=T.ppo_rewards(F.zip_with("old", "new", lambda o, n: o - n), F.lit(1.0), 0.1))
 
 
 @token_query("L05_distillation_penalty", {"adv": "adv - 0.5 * (old - base)"})
