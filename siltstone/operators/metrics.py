@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +75,47 @@ def throughput(rows: DataFrame, length: str, other_time: str, seconds: float, gp
     )
 
 
-def forward_flops(length: Column, hidden: int, layers: int, ffn: int, heads: int, kv_heads: int, head_dim: int, vocab: int) -> Column:
-    """Dense decoder FLOPs of one forward pass over a sequence (multiply-adds count twice)."""
-    q, kv = heads * head_dim, kv_heads * head_dim
-    linear = 2.0 * length * hidden * (q + 2 * kv) + 2.0 * length * q * hidden + 6.0 * length * hidden * ffn
-    attention = 4.0 * length * length * q / 2.0
-    return layers * (linear + attention) + 2.0 * length * hidden * vocab
+@dataclass(frozen=True)
+class Experts:
+    """Expert layers: their width, how many a token is routed to, the width of the shared one, and which layers have them.
+
+    ``pattern`` is a period (layers 0, p, 2p, ... have experts), one flag per layer, or None for all layers.
+    """
+
+    ffn: int
+    chosen: int
+    shared: int = 0
+    pattern: int | tuple[int, ...] | None = None
+
+    def count(self, layers: int) -> int:
+        if self.pattern is None:
+            return layers
+        return -(-layers // self.pattern) if isinstance(self.pattern, int) else sum(f > 0 for f in self.pattern)
+
+
+@dataclass(frozen=True)
+class LowRank:
+    """Attention through low-rank projections: ranks of queries and of keys with values, and the head's content, position and value sizes."""
+
+    kv_rank: int
+    content: int
+    position: int
+    value: int
+    q_rank: int | None = None
+
+
+def forward_flops(length: Column, hidden: int, layers: int, ffn: int, heads: int, kv_heads: int, head_dim: int, vocab: int, experts: Experts | None = None, low_rank: LowRank | None = None) -> Column:
+    """Decoder FLOPs of one forward pass over a sequence (multiply-adds count twice; causal attention is half of the square)."""
+    x = low_rank
+    q_weights = hidden * heads * head_dim if x is None or x.q_rank is None else x.q_rank * (hidden + heads * (x.content + x.position))
+    kv_weights = 2 * hidden * kv_heads * head_dim if x is None else x.kv_rank * (hidden + heads * (x.content + x.value)) + hidden * x.position
+    scored, mixed = (head_dim, head_dim) if x is None else (x.content + x.position, x.value)
+    n_experts = experts.count(layers) if experts else 0
+    n_dense = layers - n_experts if experts is None or not isinstance(experts.pattern, tuple) else sum(f == 0 for f in experts.pattern)
+    widths = n_dense * ffn + (n_experts * (experts.ffn * experts.chosen + experts.shared) if experts else 0)
+    per_token = 2.0 * ((n_dense + n_experts) * (q_weights + kv_weights + hidden * hidden) + 3 * hidden * widths + hidden * vocab)
+    per_square = (n_dense + n_experts) * heads * (scored + mixed)
+    return length * per_token + length * length * float(per_square)
 
 
 def pass_rates(rows: DataFrame, dataset: str, group: str, correct: Column, ks: list[int]) -> DataFrame:

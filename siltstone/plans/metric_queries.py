@@ -169,6 +169,17 @@ def a33(spark, d):
     return V.samples(spark, d).groupBy("rollout_id").agg(F.sum(M.forward_flops(n, 64, 4, 256, 8, 4, 8, 1000)).alias("flops"))
 
 
+@book.add(
+    "A33_expert_flops",
+    f"{S}, w AS (SELECT rollout_id, CAST(response_length AS DOUBLE) AS n FROM s), l AS (SELECT rollout_id, n, 2.0 * n * 32 * (64 + 4 * (16 + 8)) + 2.0 * n * (24 * (64 + 4 * (16 + 12)) + 64 * 8) + 2.0 * 4 * n * n * (16 + 8) / 2 + 4 * n * n * 12 + 2.0 * n * 64 * 64 AS att FROM w) SELECT rollout_id, sum(6 * att + 2 * (2.0 * n * 64 * 256 * 3) + 4 * (2.0 * n * 64 * (48 * 2 + 40) * 3) + 2.0 * n * 64 * 1000) AS flops FROM l GROUP BY rollout_id",
+)
+def a33x(spark, d):
+    """Two dense and four expert layers, with low-rank attention."""
+    n = c("response_length").cast("double")
+    flops = M.forward_flops(n, 64, 6, 256, 4, 2, 32, 1000, M.Experts(48, 2, 40, (0, 1, 1, 0, 1, 1)), M.LowRank(24, 16, 8, 12, 32))
+    return V.samples(spark, d).groupBy("rollout_id").agg(F.sum(flops).alias("flops"))
+
+
 @book.add("A34_perf_ratios", f"{S} SELECT rollout_id, round(CASE WHEN sum(value) > 0 THEN sum(response_length) / sum(value) ELSE 0.0 END, 6) AS tok_per_s, round(CASE WHEN sum(value) > 0 THEN sum(CASE WHEN status = 'aborted' THEN value ELSE 0 END) / sum(value) ELSE 0.0 END, 6) AS wait_ratio FROM s GROUP BY rollout_id")
 def a34(spark, d):
     t = F.sum("value")

@@ -46,6 +46,15 @@ def t08(spark, d):
     return ready.where("n >= 8 AND NOT bad").orderBy("group_index").limit(64).select("group_index")
 
 
+@book.add("T08_requeued_groups", "SELECT event_id // 8 AS instance_id, count(*) AS n_items, CAST(CASE WHEN bool_or(event_type = 'error') THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM events GROUP BY 1 HAVING count(*) >= 8")
+def t08r(spark, d):
+    """A stream's consumer: groups with an aborted sample go back to the queue and come out on their second attempt."""
+    inbox = scratch_path(spark, "requeue-inbox")
+    items = table(spark, d, "events").select(F.floor(c("event_id") / 8).alias("instance_id"), c("event_id").alias("item_id"), (c("event_type") == "error").cast("double").alias("value"))
+    items.write.parquet(inbox)
+    return B.requeue(items, 8, inbox, lambda rows: rows.withColumn("value", F.lit(0.0)))
+
+
 @book.add("T11_partial_rollouts_kept", f"WITH {V.SAMPLES} SELECT sample_index, rollout_id AS start_rollout_id FROM s WHERE status = 'aborted'")
 def t11(spark, d):
     return V.samples(spark, d).where("status = 'aborted'").select("sample_index", c("rollout_id").alias("start_rollout_id"))

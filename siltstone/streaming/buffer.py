@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +71,24 @@ def timed_out_groups(items: DataFrame, size: int, idle: str) -> DataFrame:
     return items.groupBy("instance_id").applyInPandasWithState(step, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def requeue(items: DataFrame, size: int, inbox: str, again: Callable[[DataFrame], DataFrame], rounds: int = 10) -> DataFrame:
+    """Groups of the inbox once all their items are good; ``value`` is 1 for an aborted item, else 0.
+
+    A complete group with an aborted item goes back: ``again`` makes its items anew, and they are appended to the inbox, which the same
+    stream reads on. Gives (instance_id, n_items, attempts), by index; a group that is still bad after ``rounds`` stays out.
+    """
+    spark = items.sparkSession
+    out, state = scratch_path(spark, "requeue-groups"), scratch_path(spark, "requeue-state")
+    for _ in range(rounds):
+        groups = run_to_end(complete_groups(file_stream(spark, inbox), size), OUT, out=out, state=state)
+        tries = groups.groupBy("instance_id").agg(F.count(F.lit(1)).alias("attempts"), F.min("total").alias("aborted"), F.max("n_items").alias("n_items"))
+        bad = tries.where("aborted > 0").select("instance_id")
+        if bad.isEmpty():
+            break
+        again(items.join(bad, "instance_id", "left_semi")).select(*items.columns).write.mode("append").parquet(inbox)
+    return tries.where("aborted = 0").select("instance_id", "n_items", "attempts").orderBy("instance_id")
+
+
 def drain(spark: SparkSession, out: str, cursor: str) -> DataFrame:
     """The groups in the output folder ``out`` that no read with this ``cursor`` has given yet; the cursor is a table of files read.
 
