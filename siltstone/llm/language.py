@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # Function words that set the Latin-script languages apart.
 FUNCTION_WORDS = {
@@ -47,9 +48,10 @@ def weights(text: str) -> dict[str, float]:
         found = [w for w in found if w[0] < "ɐ"]
     if found:
         score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-        for w in found:
-            for lang in _OF.get(w, ()):
-                score[lang] += 1
+        counts = Counter(found)
+        for w in _OF.keys() & counts.keys():
+            for lang in _OF[w]:
+                score[lang] += counts[w]
         if not low.isascii():
             for lang, pattern in _ACCENTS.items():
                 score[lang] += 1.5 * len(pattern.findall(low))

@@ -74,9 +74,12 @@ ITEM = re.compile(r"\s*(?:[-*•·+]|\d+[.)、]|[a-z][.)])\s+\S")
 
 # Courtesies after a refusal.
 COURTESY = re.compile(
-    r"^(?:feel free|you may want|you might|thank(?:s| you)|i hope|let me know|please (?:consult|ask|try|contact|reach)|is there (?:something|anything)|i(?:'| a)m (?:happy|glad)|happy to|sorry|my apologies|apologies|i apologi[sz]e|i understand)\b|"
-    r"感谢您?的?理解|换个话题|咨询专业|其他需要|请谅解|抱歉|对不起|敬请谅解|谢谢|merci|gracias|danke|спасибо|извините|простите|к сожалению|désolé|lo siento|consulte|consultez|wenden sie sich|обратитесь|ご相談|ご了承|ご理解|申し訳"
+    r"(?:feel free|you may want|you might|thank(?:s| you)|i hope|let me know|please (?:consult|ask|try|contact|reach)|is there (?:something|anything)|i(?:'| a)m (?:happy|glad)|happy to|sorry|my apologies|apologies|i apologi[sz]e|i understand)\b"
 )
+COURTESIES = (
+    "感谢您的理解", "感谢理解", "感谢您理解", "感谢的理解", "换个话题", "咨询专业", "其他需要", "请谅解", "抱歉", "对不起", "敬请谅解", "谢谢", "merci", "gracias", "danke", "спасибо", "извините", "простите", "к сожалению", "désolé", "lo siento", "consulte", "consultez",
+    "wenden sie sich", "обратитесь", "ご相談", "ご了承", "ご理解", "申し訳",
+)
 # The words by which a recurring opening is checked: a negation or an apology, or who or what it is about.
 DENIES = re.compile(
     r"\b(?:[a-z]+n t|can t)\b|\b(?:no|not|never|cannot|unable|refuse|refrain|decline|sorry|apologi[sz]e|regret|unfortunately|off[- ]limits|forbidden|prohibited)\b|n['’]t\b|"
@@ -103,7 +106,7 @@ ASKS = {
     )
     for k, v in ASKED.items()
 }
-NAMES_LANGUAGE = re.compile("|".join(ASKED.values()), re.I)
+NAMES_LANGUAGE = tuple(name for names in ASKED.values() for name in names.replace("(?:simplified )?", "").split("|"))
 ASK_CUE = re.compile(r"translat|reply|respond|answer|write|version|summar|say|用|译|回答|responde|contest|traduc|tradu|répond|antwort|übersetz|schreib|ответ|перев|напиш|答え|訳", re.I)
 
 
@@ -271,7 +274,8 @@ def is_truncated(reply: str) -> bool:
 @lru_cache(maxsize=4096)
 def asked_language(prompt: str) -> str | None:
     """The language that the prompt asks for, if it asks for one: a sentence names it within 160 characters of a word that asks."""
-    if not NAMES_LANGUAGE.search(prompt):
+    low = prompt.lower()
+    if not any(name in low for name in NAMES_LANGUAGE):
         return None
     for line in SENTENCE.split(prompt):
         if ASK_CUE.search(line):
@@ -405,7 +409,7 @@ def in_two(reply: str) -> tuple[str, str]:
 
 def is_polite(rest: str) -> bool:
     """Every sentence is a courtesy, or a denial about the speaker or the request."""
-    return all(COURTESY.search(s) or (DENIES.search(s) and SPEAKS.search(s)) for x in SENTENCE.split(rest.lower()) if (s := x.strip()))
+    return all(COURTESY.match(s) or any(c in s for c in COURTESIES) or (DENIES.search(s) and SPEAKS.search(s)) for x in SENTENCE.split(rest.lower()) if (s := x.strip()))
 
 
 SCHEMA = "sample_index bigint, prompt_key bigint, defect string, form string, masked string, numbers bigint, own double, rest bigint, rest_form bigint, polite boolean, sketch array<bigint>"
