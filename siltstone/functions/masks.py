@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Message = dict
@@ -135,3 +135,12 @@ def role_masks(messages: DataFrame, key: list[str], order: str, role: str, n_tok
     part = F.struct("_at", F.expr("repeat(CASE WHEN _learn THEN '1' ELSE '0' END, CAST(_n AS INT))").alias("m"))
     packed = rows.groupBy(*key).agg(F.sum("_n").alias("n_tokens"), F.sum(F.when(F.col("_learn"), F.col("_n")).otherwise(0)).alias("n_learned"), F.array_sort(F.collect_list(part)).alias("_m"))
     return packed.select(*key, "n_tokens", "n_learned", F.array_join(F.col("_m.m"), "").alias("mask"))
+
+
+def segments(messages: DataFrame, key: list[str], order: str, role: str, text: str) -> DataFrame:
+    """(key, segment, learn, n_messages, text): a conversation flattened to runs of messages that are learned, or not, one after the other."""
+    rows = messages.select(*key, F.col(order).alias("_at"), F.col(text).alias("_text"), (F.col(role) == "assistant").alias("learn"))
+    rows = rows.withColumn("_new", (F.coalesce(F.lag("learn").over(Window.partitionBy(*key).orderBy("_at")) != F.col("learn"), F.lit(True))).cast("bigint"))
+    runs = rows.withColumn("segment", F.sum("_new").over(Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    packed = runs.groupBy(*key, "segment").agg(F.min("learn").alias("learn"), F.count(F.lit(1)).alias("n_messages"), F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_m"))
+    return packed.select(*key, "segment", "learn", "n_messages", F.array_join(F.col("_m._text"), "").alias("text"))

@@ -106,3 +106,13 @@ def record(df: DataFrame, keys: list[str], overflow: str = "extra") -> DataFrame
     """Known columns as they are, all others as JSON in one overflow column."""
     others = [c for c in df.columns if c not in keys]
     return df.select(*keys, F.to_json(F.struct(*others)).alias(overflow) if others else F.lit("{}").alias(overflow))
+
+
+def normalised_payload(payload: Column, model: str | None, default_model: str, stream: str = "inherit") -> Column:
+    """A request's JSON fields (a string map) before replay: a forced model, or a default where none is named; ``stream`` is inherit, true or
+    false, and without streaming its options go."""
+    named = F.when(F.trim(F.coalesce(payload["model"], F.lit(""))) != "", payload["model"]).otherwise(default_model)
+    fields = F.map_concat(F.map_filter(payload, lambda k, v: k != "model"), F.map_from_arrays(F.array(F.lit("model")), F.array(F.lit(model) if model is not None else named)))
+    if stream != "inherit":
+        fields = F.map_concat(F.map_filter(fields, lambda k, v: k != "stream"), F.map_from_arrays(F.array(F.lit("stream")), F.array(F.lit(stream))))
+    return F.map_filter(fields, lambda k, v: k != "stream_options") if stream == "false" else fields

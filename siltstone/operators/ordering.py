@@ -25,6 +25,14 @@ def mix_key(row_id: Column, salt: int) -> Column:
     return F.pmod((row_id + salt) * F.lit(7919) + F.lit(104729), F.lit(1000003))
 
 
+def repeated_input(rows: DataFrame, row_id: str, instance: str, repeats: int, seed: int) -> DataFrame:
+    """The generator's input: a missing ``instance`` is the row's number, and all rows come ``repeats`` times, shuffled anew each time."""
+    named = rows.withColumn(instance, F.coalesce(F.col(instance), F.col(row_id)))
+    times = named.withColumn("repeat_idx", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    keyed = times.withColumn("_key", mix_key(F.col(row_id) + F.col("repeat_idx"), seed))
+    return positions(keyed, ["repeat_idx", "_key", row_id]).drop("_key")
+
+
 def level(score: Column) -> Column:
     out = F.when(score <= LEVELS[0][0], LEVELS[0][1])
     for bound, name in LEVELS[1:]:

@@ -200,10 +200,10 @@ LIVE = "CASE WHEN NOT removed THEN reward END"
 
 @book.add(
     "A05_turn_reward_norm",
-    f"{ST} SELECT user_id, turn_idx, round(coalesce(({LIVE} - avg({LIVE}) OVER w) / (coalesce(stddev_samp({LIVE}) OVER w, 0.0) + 1e-6), 0.0), 6) + 0.0 AS norm_reward FROM t WINDOW w AS (PARTITION BY user_id % 8, turn_idx)",
+    f"{ST} SELECT user_id, turn_idx, round(coalesce(({LIVE} - avg({LIVE}) OVER w) / (coalesce(stddev_samp({LIVE}) OVER w, 0.0) + 1e-6), 0.0), 6) + 0.0 AS norm_reward FROM t WINDOW w AS (PARTITION BY user_id // 8, turn_idx)",
 )
 def a05(spark, d):
-    t = V.turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
+    t = V.turns(spark, d).withColumn("grp", F.floor(F.col("user_id") / 8))
     return G.normalise_turns(t, ["grp", "turn_idx"], "reward", "removed").select("user_id", "turn_idx", r6(F.col("norm_reward")).alias("norm_reward"))
 
 
@@ -270,9 +270,9 @@ def w07(spark, d):
     return V.turns(spark, d).select("user_id", "turn_idx", F.max("speedup").over(w).alias("best"), F.bool_or(F.col("reward") > 0.4).over(w).alias("any_correct"), F.first("reward").over(w).alias("first_reward"))
 
 
-@book.add("G01_regroup_by_turn", f"{ST} SELECT user_id % 8 AS grp, turn_idx, count(*) AS n, string_agg(CAST(sample_index AS VARCHAR), ',' ORDER BY sample_index) AS members FROM t GROUP BY ALL")
+@book.add("G01_regroup_by_turn", f"{ST} SELECT user_id // 8 AS grp, turn_idx, count(*) AS n, string_agg(CAST(sample_index AS VARCHAR), ',' ORDER BY sample_index) AS members FROM t GROUP BY ALL")
 def g01(spark, d):
-    t = V.turns(spark, d).withColumn("grp", F.pmod("user_id", F.lit(8)))
+    t = V.turns(spark, d).withColumn("grp", F.floor(F.col("user_id") / 8))
     return T.regroup_by_turn(t, "grp", "turn_idx", "sample_index").select("grp", "turn_idx", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("members"))
 
 

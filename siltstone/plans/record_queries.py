@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import shaping as H
+from siltstone.functions.masks import segments
 from siltstone.operators import groups as G
-from siltstone.operators.ordering import positions
+from siltstone.operators.ordering import positions, repeated_input
 from siltstone.plans import registry
 from siltstone.plans import views as V
 from siltstone.plans.book import Book
@@ -140,6 +141,15 @@ def s14(spark, d):
     return table(spark, d, "message_rows").select("message_id", F.coalesce("sample_index", "message_id").alias("instance_id"))
 
 
+@book.add(
+    "S14_repeated_input",
+    "WITH m AS (SELECT message_id, max(sample_index) AS sample_index FROM message_rows GROUP BY message_id), t AS (SELECT message_id, coalesce(sample_index, message_id) AS instance_id, CAST(r AS INTEGER) AS repeat_idx FROM m, (SELECT unnest([0, 1, 2]) AS r)) SELECT *, row_number() OVER (ORDER BY repeat_idx, ((message_id + repeat_idx + 42) * 7919 + 104729) % 1000003, message_id) - 1 AS pos FROM t",
+)
+def s14r(spark, d):
+    m = table(spark, d, "message_rows").groupBy("message_id").agg(F.max("sample_index").alias("instance_id"))
+    return repeated_input(m, "message_id", "instance_id", 3, 42)
+
+
 @book.add("S15_corpus", "SELECT doc_id AS id, coalesce(title, '') || chr(10) || coalesce(text, '') AS contents FROM documents")
 def s15(spark, d):
     path = scratch_path(spark, "corpus") + ".jsonl"
@@ -240,18 +250,22 @@ def p18(spark, d):
     return V.samples(spark, d).select("sample_index", H.status_of(finish).alias("status"), "reward")
 
 
-@book.add("P19_round_counts", "SELECT sample_index, count(CASE WHEN lower(metadata) LIKE '%\"assistant\"%' THEN 1 END) AS rounds FROM message_rows WHERE sample_index IS NOT NULL GROUP BY sample_index")
+@book.add("P19_worker_records", "SELECT user_id AS uid, CAST(sum(CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END) AS BIGINT) AS round_number, count(*) AS n_messages, arg_max(event_type, event_id) AS finish_reason FROM events GROUP BY user_id")
 def p19(spark, d):
-    m = table(spark, d, "message_rows").where("sample_index IS NOT NULL")
-    packed = m.groupBy("sample_index").agg(F.collect_list(F.lower(F.coalesce("metadata", F.lit("")))).alias("x"))
-    return packed.select("sample_index", F.size(F.filter("x", lambda t: t.contains('"assistant"'))).cast("bigint").alias("rounds"))
+    """A worker's record per instance: rounds are the assistant's messages, the rest stands in the extra fields."""
+    turn = F.struct("event_id", F.when(c("event_type").isin("purchase", "click"), "assistant").otherwise("user").alias("role"), c("event_type").alias("content"))
+    chats = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
+    return chats.select(c("user_id").alias("uid"), F.size(F.filter("messages", lambda m: m["role"] == "assistant")).cast("bigint").alias("round_number"), F.size("messages").cast("bigint").alias("n_messages"), F.element_at("messages", -1)["content"].alias("finish_reason"))
 
 
-@book.add("P20_payload_normalised", "SELECT event_id, event_type AS model, event_id % 2 = 0 AS stream, CASE WHEN event_id % 3 = 0 THEN 16 ELSE 128 END AS max_tokens FROM events")
+@book.add("P20_payload_normalised", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'base' ELSE event_type END AS model, CASE WHEN event_id % 2 = 0 THEN 'true' END AS stream, CASE WHEN event_id % 2 = 0 THEN 'x' END AS options, 'forced' AS forced, 'false' AS off, CAST(NULL AS VARCHAR) AS off_options FROM events")
 def p20(spark, d):
-    raw = F.to_json(F.struct(c("event_type").alias("model"), F.when(F.pmod("event_id", F.lit(2)) == 0, True).alias("stream"), F.when(F.pmod("event_id", F.lit(3)) == 0, 16).alias("max_tokens")))
-    x = F.from_json(raw, "model string, stream boolean, max_tokens int")
-    return table(spark, d, "events").select("event_id", x["model"].alias("model"), F.coalesce(x["stream"], F.lit(False)).alias("stream"), F.coalesce(x["max_tokens"], F.lit(128)).alias("max_tokens"))
+    """Payloads as they are replayed: with a default model and inherited streaming, and with a forced model and no streaming."""
+    even = F.pmod("event_id", F.lit(2)) == 0
+    raw = F.to_json(F.struct(F.when(c("event_type") == "view", " ").otherwise(c("event_type")).alias("model"), F.when(even, True).alias("stream"), F.when(even, "x").alias("stream_options")))
+    x = F.from_json(raw, "map<string,string>")
+    rows = table(spark, d, "events").select("event_id", H.normalised_payload(x, None, "base").alias("a"), H.normalised_payload(x, "forced", "base", "false").alias("b"))
+    return rows.select("event_id", c("a")["model"].alias("model"), c("a")["stream"].alias("stream"), c("a")["stream_options"].alias("options"), c("b")["model"].alias("forced"), c("b")["stream"].alias("off"), c("b")["stream_options"].alias("off_options"))
 
 
 @book.add("P26_per_turn_tokens", "SELECT event_id, CAST(5 + event_id % 4 AS INTEGER) AS n_tokens, CAST(event_id % 4 AS INTEGER) AS n_response FROM events")
@@ -309,10 +323,13 @@ def g04(spark, d):
     return table(spark, d, "events").select("event_id", (F.pmod("event_id", F.lit(8)) + 1234).alias("seed"))
 
 
-@book.add("G06_conversation_segments", "SELECT sample_index, count(*) AS n_messages, CAST(sum(length(coalesce(message_content, ''))) AS BIGINT) AS n_chars FROM message_rows WHERE sample_index IS NOT NULL GROUP BY sample_index")
+@book.add(
+    "G06_conversation_segments",
+    "WITH e AS (SELECT user_id, event_id, event_type, event_type IN ('purchase', 'click') AS learn FROM events), l AS (SELECT *, CASE WHEN lag(learn) OVER (PARTITION BY user_id ORDER BY event_id) = learn THEN 0 ELSE 1 END AS new FROM e), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS segment FROM l) SELECT user_id, segment, bool_and(learn) AS learn, count(*) AS n_messages, string_agg(event_type, '' ORDER BY event_id) AS text FROM r GROUP BY user_id, segment",
+)
 def g06(spark, d):
-    m = table(spark, d, "message_rows").where("sample_index IS NOT NULL")
-    return m.groupBy("sample_index").agg(F.count(F.lit(1)).alias("n_messages"), F.sum(F.length(F.coalesce("message_content", F.lit(""))).cast("bigint")).alias("n_chars"))
+    rows = table(spark, d, "events").withColumn("role", F.when(c("event_type").isin("purchase", "click"), "assistant").otherwise("user"))
+    return segments(rows, ["user_id"], "event_id", "role", "event_type")
 
 
 @registry.register("reward_postprocess", "centred")
