@@ -71,7 +71,7 @@ def t12(spark, d):
 )
 def t15(spark, d):
     rows = table(spark, d, "events").select("user_id", c("event_id").alias("seq"), F.floor(c("event_id") / 100).alias("step"), "value")
-    return B.slow_requests(rows, "user_id", "step", "value", 10, 5.0, "user_id bigint, seq bigint, step bigint, value double, slow boolean").select("seq", "slow")
+    return B.slow_requests(rows, "user_id", "step", "value", 10, 5.0).select("seq", "slow")
 
 
 _IDS = "user_id AS trace_id, event_id AS sample_id, event_id // 8 AS group_id, event_id % 4 AS attempt, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS parent_span_id"

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -130,16 +130,10 @@ def ready_count(items: DataFrame, key: str, size: int) -> DataFrame:
     return items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ready"))
 
 
-def slow_requests(requests: DataFrame, key: str, step: str, seconds: str, window: int, delta: float, schema: str) -> DataFrame:
-    """Requests slower than the running maximum of their step window by more than ``delta``; they don't raise it silently: it is raised after the comparison."""
+def slow_requests(requests: DataFrame, key: str, step: str, seconds: str, window: int, delta: float) -> DataFrame:
+    """Requests slower than the running maximum of their step window by more than ``delta``; they don't raise it silently: it is raised after the comparison.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([step, "seq"])
-        top, flags = 0.0, []
-        for s in pdf[seconds]:
-            flags.append(s > top + delta)
-            top = max(top, s)
-        return pdf.assign(slow=flags)
-
-    windowed = requests.withColumn("_window", F.floor(F.col(step) / window))
-    return windowed.groupBy(key, "_window").applyInPandas(lambda p: run(p).drop(columns=["_window"]), schema)
+    The order is (``step``, seq). A plain window: step windows are small and many, so no group goes to Python.
+    """
+    before = Window.partitionBy(key, F.floor(F.col(step) / window)).orderBy(step, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return requests.withColumn("slow", F.col(seconds) > F.coalesce(F.max(seconds).over(before), F.lit(0.0)) + delta)

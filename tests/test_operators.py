@@ -19,9 +19,10 @@ from siltstone.operators import traces as S
 from siltstone.operators import turns as U
 from siltstone.operators.cumulative import first_at_ranks, running_total
 from siltstone.operators.estimators import PromptSource
-from siltstone.plans import registry
+from siltstone.plans import registry, stream_queries
 from siltstone.sources import records
 from siltstone.streaming import buffer
+from tests import compare
 
 
 def test_running_total_over_blocks_of_hot_and_null_groups(spark):
@@ -268,6 +269,17 @@ def test_stream_completes_groups_across_batches(spark, tmp_path):
     assert {(x["instance_id"], x["n_items"], x["finished"]) for x in got} == {(0, 3, True), (1, 3, True)}
 
 
+def test_slow_requests_run_as_sql_without_python(spark, tmp_path):
+    values = [4.0, 9.5, None, 14.4, 14.6, math.nan, 30.0, 1.0, 5.0, 5.1]
+    rows = [(i * 97, i % 3 or None, v) for i, v in enumerate(values * 12)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = stream_queries.book.queries["T15_slow_requests"](spark, str(tmp_path))
+    assert "Pandas" not in df._jdf.queryExecution().toString()
+    con = compare.connect("/nowhere")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert compare.rows_of(df) == compare.rows_of_sql(con, stream_queries.book.sql["T15_slow_requests"])
+
+
 def test_registry():
     assert registry.load("math.sqrt")(4) == 2
     with pytest.raises(ValueError):
