@@ -91,6 +91,15 @@ def test_the_same_verdicts_beyond_the_held_templates(spark, monkeypatch):
     assert sorted(map(tuple, T.residue(df).collect())) == held
 
 
+def test_company_counts_rows_with_a_message_alone_at_any_size(spark, monkeypatch):
+    texts = ["Plain words on a harbour.\nThe lamp is green."] * 3 + ["Plain words on a harbour.\n502 Bad Gateway.\nThe lamp is green."]
+    texts = [f"{t}\nRow {w}." for t, w in zip(texts, "abcd")] + ["404 Not Found."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for most in (T.MAX_HELD, 64, 2, 1):
+        monkeypatch.setattr(T, "MAX_HELD", most)
+        assert [r["doc_id"] for r in T.residue(df).collect()] == [4]
+
+
 def test_tree_merges_alike_sentences():
     tree = T.PrefixTree()
     for name in ("alpha", "beta", "gamma"):
